@@ -8,7 +8,6 @@ them), so the Python side only ever sees the names that need it.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
@@ -37,9 +36,13 @@ def fold_text(text: str) -> str:
     return spread.translate(_DROP).translate(_FOLD)
 
 
-@lru_cache(maxsize=65536)
+_FOLDED: dict[str, str] = {}  # characters met so far; bounded by the characters that exist
+
+
 def _fold_char(ch: str) -> str:
-    return fold_text(ch)
+    if ch not in _FOLDED:
+        _FOLDED[ch] = fold_text(ch)
+    return _FOLDED[ch]
 
 
 def fold_with_origin(text: str) -> dict:

@@ -28,6 +28,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
