@@ -183,6 +183,11 @@ def _forms_udf(raw: pa.Array) -> pa.Array:
     return _each(forms, raw, dtype=pa.struct([("unicode", pa.string()), *_MAPPED, ("odd", _ODD)]))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _shown_list_udf(names: pa.Array) -> pa.Array:
+    return _each(lambda row: [shown_domain(n) for n in row], names, dtype=pa.list_(pa.string()))
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _ascii_list_udf(hosts: pa.Array) -> pa.Array:
     return _each(lambda row: [ascii_domain(h) for h in row], hosts, dtype=pa.list_(pa.string()))
@@ -201,6 +206,12 @@ def name_forms(raw: Column) -> Column:
     return _forms_udf(F.when(F.contains(raw, F.lit("xn--")) | ~is_ascii(raw), raw))
 
 
+def unicode_domains(names: Column) -> Column:
+    """``unicode_domain`` over a list."""
+    coded = F.contains(F.array_join(names, " "), F.lit("xn--"))
+    return F.when(~coded, names).otherwise(_shown_list_udf(F.when(coded, names)))
+
+
 def ascii_hosts(hosts: Column) -> Column:
     """``ascii_host`` over a list."""
     plain = is_ascii(F.array_join(hosts, ""))
