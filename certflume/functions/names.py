@@ -88,11 +88,23 @@ def _first_match(text: Column, pattern: Column) -> Column:
 
 def lure_words(text: Column) -> Column:
     """Lure words of a folded text with where they start and how long they are."""
-    found = [
-        F.struct(F.lit(w).alias("word"), find_word(text, folded).alias("at"), F.lit(len(folded)).alias("len"))
-        for w, folded in ((w, fold_text(w)) for w in fv.LURE_WORDS)
-    ]
-    return F.filter(F.array(*found), lambda h: h["at"] >= 0)
+    words = [(w, fold_text(w)) for w in fv.LURE_WORDS]
+
+    def listed(long: bool) -> Column:
+        # One array literal per kind; a few hundred expression nodes would
+        # cost more to plan than to run.
+        rows = ", ".join(f"named_struct('word', '{w}', 'folded', '{f}', 'no', {i})"
+                         for i, (w, f) in enumerate(words) if (len(f) >= 5) == long)
+        return F.expr(f"array({rows})")
+
+    def found(w: Column, at: Column) -> Column:
+        return F.struct(w["no"].alias("no"), w["word"].alias("word"), at.alias("at"), F.length(w["folded"]).alias("len"))
+
+    anywhere = F.transform(listed(True), lambda w: found(w, F.instr(text, w["folded"]) - 1))
+    at_start = F.transform(listed(False), lambda w: found(w, F.when(
+        F.contains(text, w["folded"]), _first_match(text, F.concat(F.lit(NOT_WORD), w["folded"]))).otherwise(F.lit(_NONE))))
+    hits = F.filter(F.concat(anywhere, at_start), lambda h: h["at"] >= 0)
+    return F.transform(F.array_sort(hits), lambda h: h.dropFields("no"))
 
 
 def unswap(text: Column, variant: int = 0) -> Column:

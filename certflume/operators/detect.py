@@ -15,13 +15,17 @@ The plan for any number of names:
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions import let
+from ..functions import hold, let
+from ..functions.keys import GRAM, SHORT, KeySpec, bitmap, edits, name_keys, near_keys, text_keys
 from ..functions.names import (
-    bare_name, find_word, host_text, lure_words, osa_distance, pieces, severity_of, split_domain, unswap,
+    bare_name, find_word, host_text, lure_words, pieces, severity_of, split_domain, unswap,
 )
+from ..functions.typos import typos
 from ..functions.unicode import ascii_host, name_forms
 from .watchlist import CompiledWatchlist, PinnedWatchlist, pin
 
@@ -41,144 +45,70 @@ FINDING = (
 
 # Broadcast the watchlist's keys only up to this many rows (about 100 MB).
 BROADCAST_KEYS = 2_000_000
-GRAM = 5
-SHORT = 3
-_LONGS = "array<bigint>"
 
 
 # --- keys --------------------------------------------------------------------
 
-def _key(tag: str, gram: Column) -> Column:
-    return F.xxhash64(F.lit(tag), gram)
+def watch_keys(watch: PinnedWatchlist) -> tuple[pa.Table, KeySpec]:
+    """Every key that proposes an entry with the words it speaks for, and what
+    a name has to be searched for. Bounded by the limits of a watchlist."""
+    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def add(no: np.ndarray, keys: np.ndarray, seen: np.ndarray | int = 0, near: np.ndarray | int = 0) -> None:
+        rows.append((keys, no, np.broadcast_to(np.asarray(seen, np.int64), keys.shape),
+                     np.broadcast_to(np.asarray(near, np.int64), keys.shape)))
 
-def _grams(text: Column, size: int) -> Column:
-    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.transform(found, lambda g: _key("gram", g))
-
-
-def _word_starts(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}])(?=(.{{{SHORT}}}))"), F.lit(1))
-    return F.transform(found, lambda g: _key("start", g))
-
-
-def _without(text: Column, i: Column) -> Column:
-    return F.concat(F.substring(text, 1, i - 1), F.substring(text, i + 1, F.length(text)))
-
-
-def _one_gone(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: _without(text, i))
-
-
-def deletion_keys(text: Column, gone: int) -> Column:
-    """Keys of a text and of every form of it with up to ``gone`` letters left out.
-
-    Two texts at most ``gone`` edits apart (a swap of neighbours is one edit)
-    always share a key.
-    """
-    forms = F.concat(F.array(text), _one_gone(text))
-    if gone == 2:
-        # Second gap at or after the first: every pair once.
-        twice = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: let(
-            _without(text, i), lambda rest: F.transform(
-                F.sequence(i, F.length(text) - 1), lambda j: _without(rest, j))))
-        forms = F.concat(forms, F.flatten(twice))
-    return F.transform(F.array_distinct(forms), lambda v: _key(f"gone{gone}", v))
-
-
-def _variants(length: int) -> int:
-    return 1 + length + (length * (length - 1) // 2 if length >= 8 else 0)
-
-
-def _edits(length: int) -> int:
-    return 0 if length < 4 else 1 if length < 8 else 2
-
-
-def watch_keys(watch: PinnedWatchlist) -> DataFrame:
-    """Every key that proposes an entry, with the words it speaks for."""
-    none = F.lit(0).cast("bigint")
-    base = watch.table.select("watch_no", "own", "endings", "words", "pattern")
-    word = base.select("watch_no", F.explode("words").alias("w")).select("watch_no", "w.*")
-    plain = word.select("watch_no", F.when(
-        F.col("len") >= 5, _key("gram", F.substring("word", 1, GRAM))
-    ).otherwise(_key("start", F.substring("word", 1, SHORT))).alias("key"), F.col("bit").alias("seen"), none.alias("near"))
-    near = word.filter("len >= 4").select("watch_no", F.explode(
-        F.when(F.col("len") < 8, deletion_keys(F.col("word"), 1)).otherwise(deletion_keys(F.col("word"), 2))
-    ).alias("key"), none.alias("seen"), F.col("bit").alias("near"))
-    written = base.select("watch_no", F.explode(F.filter("own", lambda d: F.contains(d, F.lit(".")))).alias("d"))
-    inside = written.select("watch_no", F.explode(F.array(F.col("d"), F.replace("d", F.lit("."), F.lit("-")))).alias("d")).select(
-        "watch_no", _key("gram", F.substring("d", 1, GRAM)).alias("key"), none.alias("seen"), none.alias("near"))
-    named = base.select("watch_no", F.explode("endings").alias("e")).select(
-        "watch_no", _key("name", F.col("e.name")).alias("key"), none.alias("seen"), none.alias("near"))
-    pattern = base.filter("pattern is not null").select(
-        "watch_no", _key("pattern", F.col("watch_no").cast("string")).alias("key"), none.alias("seen"), none.alias("near"))
-    return plain.unionByName(near).unionByName(inside).unionByName(named).unionByName(pattern)
-
-
-def key_count(watch: PinnedWatchlist) -> int:
-    """Upper bound on the rows of ``watch_keys``, known before it runs."""
-    words = sum(1 + _variants(len(w)) for *_, w in watch.words)
-    return words + 3 * len(watch.domains) + len(watch.patterns)
-
-
-def _name_keys(watch: PinnedWatchlist) -> Column:
-    """Keys of a name row that has plain, swap_l, swap_i, pieces, raw, shown."""
-    lengths = {len(w) for *_, w in watch.words}
-    sizes = {min(len(d), GRAM) for d in watch.domains if "." in d}
-    sizes |= {GRAM for n in lengths if n >= 5}
-    empty = F.array().cast(_LONGS)
-    texts = [(F.col("plain"), None), (F.col("swap_l"), F.col("swap_l") != F.col("plain")),
-             (F.col("swap_i"), F.col("swap_i") != F.col("swap_l"))]
-
-    def of_texts(make) -> list[Column]:
-        return [make(t) if guard is None else F.when(guard, make(t)).otherwise(empty) for t, guard in texts]
-
-    keys = [F.array(_key("name", F.col("part_name")))]
-    # Only words are looked for in the unswapped forms.
-    for size in sorted(sizes):
-        keys += of_texts(lambda t: _grams(t, GRAM)) if size == GRAM else [_grams(F.col("plain"), size)]
-    if any(n < 5 for n in lengths):
-        keys += of_texts(_word_starts)
+    words = watch.words
+    no, bit = np.array([w[0] for w in words], np.int32), np.array([1 << w[1] for w in words], np.int64)
+    lengths = np.array([len(w[2]) for w in words], np.int64)
+    for tag, size, which in (("gram", GRAM, lengths >= GRAM), ("start", SHORT, lengths < GRAM)):
+        add(no[which], text_keys([w[2][:size] for w, k in zip(words, which) if k], tag), bit[which])
     for gone in (1, 2):
-        near = {n for n in lengths if _edits(n) == gone}
-        if near:
-            low, high = max(4, min(near) - 1), max(near) + gone
-            fit = F.filter("pieces", lambda p: F.length(p).between(low, high))
-            keys.append(F.flatten(F.transform(fit, lambda p: deletion_keys(p, gone))))
-    if watch.patterns:
-        keys.append(_pattern_keys(watch))
-    return F.array_distinct(F.concat(*keys))
+        which = np.flatnonzero([edits(n) == gone for n in lengths])
+        row, keys = near_keys([words[i][2] for i in which], gone)
+        add(no[which[row]], keys, 0, bit[which[row]])
+    written = [(n, f) for n, d in watch.domains if "." in d for f in (d, d.replace(".", "-"))]
+    add(np.array([n for n, _ in written], np.int32), text_keys([f[:GRAM] for _, f in written], "gram"))
+    add(np.array([n for n, _ in watch.names], np.int32), text_keys([r for _, r in watch.names], "name"))
+    spec_keys = np.concatenate([r[0] for r in rows])
+    patterns = np.array([no for no, _ in watch.patterns], np.int64)
+    add(patterns, (-1 - patterns).view(np.uint64))
+    key, owner, seen, near = (np.concatenate(c) for c in zip(*rows))
+    table = pa.table({"key": pa.array(key.view(np.int64)), "watch_no": pa.array(owner.astype(np.int32)),
+                      "seen": pa.array(seen), "near": pa.array(near)})
+
+    def fit(gone: int) -> tuple[int, int] | None:
+        near_lengths = [int(n) for n in lengths if edits(n) == gone]
+        return (max(4, min(near_lengths) - 1), max(near_lengths) + gone) if near_lengths else None
+
+    sizes = {min(len(f), GRAM) for _, f in written} | ({GRAM} if (lengths >= GRAM).any() else set())
+    spec = KeySpec(tuple(sorted(sizes)), bool((lengths < GRAM).any()), fit(1), fit(2), *bitmap(spec_keys))
+    return table, spec
 
 
 def _pattern_keys(watch: PinnedWatchlist) -> Column:
     """Keys of the patterns a name matches, as ASCII or as shown."""
-    empty = F.array().cast(_LONGS)
     raw, shown = F.col("raw"), F.col("shown")
-    hits = [F.when(raw.rlike("(?iu)" + p) | F.coalesce(shown.rlike("(?iu)" + p), F.lit(False)),
-                   _key("pattern", F.lit(str(no)))) for no, p in watch.patterns]
-    return F.coalesce(F.array_compact(F.array(*hits)), empty)
+    hits = [F.when(raw.rlike("(?iu)" + p) | F.coalesce(shown.rlike("(?iu)" + p), F.lit(False)), F.lit(_pattern_key(no)))
+            for no, p in watch.patterns]
+    return (F.array_compact(F.array(*hits)) if hits else F.array()).cast("array<bigint>")
+
+
+def _pattern_key(no: int) -> int:
+    return -1 - no
 
 
 # --- rows --------------------------------------------------------------------
 
 def prepare(names: DataFrame) -> DataFrame:
     """Add the forms of ``domain`` that every rule reads."""
-    return (
-        names
-        .withColumn("raw", bare_name(F.col("domain")))
-        .withColumn("_forms", name_forms(F.col("raw")))
-        .withColumn("_seen", F.coalesce("_forms.unicode", "raw"))
-        .withColumn("shown", F.when(F.col("_seen") != F.col("raw"), F.col("_seen")))
-        .withColumn("plain", F.coalesce("_forms.text", "raw"))
-        .withColumn("origin", F.col("_forms.from"))
-        .withColumn("odd", F.col("_forms.odd"))
-        .withColumn("direct", F.lower("_seen"))
-        .withColumn("swap_l", unswap(F.col("plain"), 0))
-        .withColumn("swap_i", unswap(F.col("plain"), 1))
-        .withColumn("parts", split_domain(F.col("plain")))
-        .withColumn("part_name", F.col("parts.name"))
-        .withColumn("pieces", pieces(F.col("parts")))
-    )
+    named = names.withColumn("raw", bare_name(F.col("domain")))
+    formed = named.withColumn("_forms", name_forms(F.col("raw"))).withColumns({
+        "_seen": F.coalesce("_forms.unicode", "raw"), "plain": F.coalesce("_forms.text", "raw"),
+        "origin": F.col("_forms.from"), "odd": F.col("_forms.odd")}).drop("_forms")
+    parted = hold(formed, shown=F.when(F.col("_seen") != F.col("raw"), F.col("_seen")), direct=F.lower("_seen"),
+                  swap_l=unswap(F.col("plain"), 0), swap_i=unswap(F.col("plain"), 1), parts=split_domain(F.col("plain")))
+    return hold(parted, part_name=F.col("parts.name"), pieces=pieces(F.col("parts")))
 
 
 def _own(text: Column) -> Column:
@@ -187,16 +117,22 @@ def _own(text: Column) -> Column:
 
 def candidates(names: DataFrame, watch: PinnedWatchlist, keys: list[str], own_on_raw: bool) -> DataFrame:
     """One row per name and entry worth scoring, the entry's own names left out."""
-    proposals = watch_keys(watch)
-    if key_count(watch) <= BROADCAST_KEYS:
+    spark = names.sparkSession
+    table, spec = watch_keys(watch)
+    proposals = spark.createDataFrame(table)
+    if table.num_rows <= BROADCAST_KEYS:
         proposals = F.broadcast(proposals)
-    own = watch.table.select("watch_no", "own")
-    keyed = prepare(names).select(
-        *keys, "domain", F.col("raw" if own_on_raw else "plain").alias("own_text"), F.explode(_name_keys(watch)).alias("key"))
+    own = F.broadcast(watch.table.select("watch_no", "own"))
+    swap_l, swap_i, plain = F.col("swap_l"), F.col("swap_i"), F.col("plain")
+    # Empty where a form adds nothing; the Arrow step then skips it.
+    keyed = prepare(names).withColumn("keys", name_keys(spec)(
+        plain, F.when(swap_l != plain, swap_l), F.when(swap_i != swap_l, swap_i), F.col("part_name"), F.col("pieces")))
+    text = F.col("raw" if own_on_raw else "plain").alias("own_text")
+    every = F.concat("keys", _pattern_keys(watch)) if watch.patterns else F.col("keys")
     return (
-        keyed.join(proposals, "key")
-        .join(F.broadcast(own), "watch_no")
-        .filter(~_own(F.col("own_text")))
+        keyed.select(*keys, "domain", text, F.explode(every).alias("key"))
+        .join(proposals, "key")
+        .join(own, "watch_no").filter(~_own(F.col("own_text")))
         .groupBy(*keys, "domain", "watch_no")
         .agg(F.bit_or("seen").alias("seen"), F.bit_or("near").alias("near"))
     )
@@ -204,11 +140,14 @@ def candidates(names: DataFrame, watch: PinnedWatchlist, keys: list[str], own_on
 
 # --- evidence ----------------------------------------------------------------
 
+_BLANK = "named_struct(" + ", ".join(f"'{n}', CAST(NULL AS {t})" for n, t in EVIDENCE_FIELDS.items()) + ")"
+
+
 def _evidence(reason: str, **fields: Column) -> Column:
-    fields["reason"] = F.lit(reason)
-    return F.struct(*[
-        fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in EVIDENCE_FIELDS.items()
-    ])
+    made = F.expr(_BLANK).withField("reason", F.lit(reason))
+    for name, value in fields.items():
+        made = made.withField(name, value)
+    return made
 
 
 def _origin(at: Column) -> Column:
@@ -263,17 +202,8 @@ def _read_words() -> Column:
             F.when(w["at"] < 0, hit).alias("swap"))
 
     def misspelt(w: Column) -> Column:
-        reach = F.when(w["len"] >= 8, 2).otherwise(1)
-        may = ((w["at"] < 0) & w["swap"]["variant"].isNull() & (w["bit"].bitwiseAND(F.col("near")) != 0)
-               & ((w["len"] >= 5) | ((w["len"] == 4) & (F.size("lures") > 0))))
-
-        def measured(p: Column) -> Column:
-            fits = (F.length(p) >= F.greatest(F.lit(4), w["len"] - 1)) & (
-                (w["len"] != 4) | (F.substring(p, 1, 1) == F.substring(w["word"], 1, 1)))
-            return F.struct(p.alias("piece"), F.when(fits, osa_distance(p, w["word"], reach)).alias("distance"))
-
-        near = F.filter(F.transform("pieces", measured), lambda m: (m["distance"] > 0) & (m["distance"] <= reach))
-        return w.withField("typo", F.when(may, F.get(near, F.lit(0))))
+        may = (w["at"] < 0) & w["swap"]["variant"].isNull() & ((w["len"] >= 5) | ((w["len"] == 4) & (F.size("lures") > 0)))
+        return w.withField("typo", F.when(may, F.get(F.filter("near_typos", lambda t: t["word"] == w["word"]), F.lit(0))))
 
     return F.transform(F.transform(F.transform(proposed, plainly), swapped), misspelt)
 
@@ -350,19 +280,16 @@ def _first_per_reason(rows: Column) -> Column:
 def score_brands(rows: DataFrame) -> DataFrame:
     """Findings of prepared name x brand rows (own, endings, words, seen, near)."""
     nothing = F.array().cast(f"array<{EVIDENCE}>")
-    scored = (
-        rows
-        .withColumn("lures", lure_words(F.col("plain")))
-        .withColumn("inside", _written_inside())
-        .withColumn("same_name", F.get(F.filter("endings", lambda e: e["name"] == F.col("part_name")), F.lit(0)))
-        .withColumn("read", F.filter(_read_words(), lambda w: (w["at"] >= 0) | w["swap"]["variant"].isNotNull()
-                                     | w["typo"].isNotNull()))
-        .withColumn("base", F.greatest(
-            F.array_max(F.transform("inside", lambda f: F.when(f["dots"] >= 0, fv.SCORE_DOTS).otherwise(fv.SCORE_HYPHENS))),
-            F.when(F.col("same_name").isNotNull(), fv.SCORE_ENDING),
-            F.array_max(F.transform("read", _word_score))))
-        .filter(F.col("base").isNotNull())
-    )
+    looked = hold(
+        rows, lures=lure_words(F.col("plain")), inside=_written_inside(),
+        same_name=F.get(F.filter("endings", lambda e: e["name"] == F.col("part_name")), F.lit(0)))
+    near = F.transform(F.filter("words", lambda w: w["bit"].bitwiseAND(F.col("near")) != 0), lambda w: w["word"])
+    looked = looked.withColumn("near_typos", typos(F.when(F.col("near") != 0, near), F.col("pieces")))
+    read = hold(looked, read=F.filter(_read_words(), lambda w: (w["at"] >= 0) | w["swap"]["variant"].isNotNull() | w["typo"].isNotNull()))
+    based = hold(read, base=F.greatest(
+        F.array_max(F.transform("inside", lambda f: F.when(f["dots"] >= 0, fv.SCORE_DOTS).otherwise(fv.SCORE_HYPHENS))),
+        F.when(F.col("same_name").isNotNull(), fv.SCORE_ENDING), F.array_max(F.transform("read", _word_score)))
+    ).filter(F.col("base").isNotNull())
     ending = _evidence("tld-swap", name=F.col("part_name"), ending=F.col("parts.suffix"), real=F.col("same_name.real"))
     basis = F.concat(
         F.transform(F.slice("inside", 1, 1), _inside_evidence),
@@ -372,16 +299,12 @@ def score_brands(rows: DataFrame) -> DataFrame:
     lure = _evidence("lure-word", words=F.transform("lures", lambda h: h["word"]),
                      spans=F.transform("lures", lambda h: _span(h["at"], h["len"])))
     has_lure, coded = F.size("lures") > 0, F.contains("raw", F.lit("xn--"))
-    extra = (F.when(has_lure, fv.SCORE_LURE_EXTRA).otherwise(0) + F.when(coded, fv.SCORE_IDN_EXTRA).otherwise(0))
-    return (
-        scored
-        .withColumn("basis", _first_per_reason(basis))
-        .withColumn("score", F.least(F.lit(fv.SCORE_MAX), F.col("base") + extra).cast("int"))
-        .withColumn("evidence", F.concat(
-            F.col("basis"),
-            F.when(has_lure, F.array(lure)).otherwise(nothing),
+    extra = F.when(has_lure, fv.SCORE_LURE_EXTRA).otherwise(0) + F.when(coded, fv.SCORE_IDN_EXTRA).otherwise(0)
+    return hold(
+        based, score=F.least(F.lit(fv.SCORE_MAX), F.col("base") + extra).cast("int"),
+        evidence=F.concat(
+            _first_per_reason(basis), F.when(has_lure, F.array(lure)).otherwise(nothing),
             F.when(coded, F.array(_evidence("idn", ascii=F.col("raw")))).otherwise(nothing)))
-    )
 
 
 def score_patterns(rows: DataFrame) -> DataFrame:
