@@ -94,8 +94,8 @@ def record_alerts(findings: DataFrame, triage: DataFrame | None = None, window:
         settled = alerts.withColumn("status", F.lit("new")).withColumn("note", F.lit("")).withColumn("updated_at", F.col("created_at"))
     else:
         latest = triage.groupBy("id").agg(
-            F.max_by("status", "at").filter("status is not null").alias("status"),
-            F.max_by("note", "at").filter("note is not null").alias("note"), F.max("at").alias("updated_at"))
+            F.max_by("status", F.when(F.col("status").isNotNull(), F.col("at"))).alias("status"),
+            F.max_by("note", F.when(F.col("note").isNotNull(), F.col("at"))).alias("note"), F.max("at").alias("updated_at"))
         settled = alerts.join(latest, "id", "left").withColumns({
             "status": F.coalesce("status", F.lit("new")), "note": F.coalesce("note", F.lit("")),
             "updated_at": F.coalesce("updated_at", "created_at")})
@@ -138,7 +138,7 @@ def alert_state(events: DataFrame, seq: str = "seq") -> DataFrame:
     later = events.filter("type <> 'alert'").join(base.select("id", "_base"), "id").filter(F.col(seq) > F.col("_base"))
 
     def latest(column: str, kind: str, present: str = "true") -> Column:
-        return F.max_by(column, seq).filter(f"type = '{kind}' and {present}")
+        return F.max_by(column, F.expr(f"CASE WHEN type = '{kind}' AND {present} THEN `{seq}` END"))
 
     has_dns = "dns" in events.columns
     folded = later.groupBy("id").agg(
