@@ -140,6 +140,9 @@ def alert_state(events: DataFrame, seq: str = "seq") -> DataFrame:
     def latest(column: str, kind: str, present: str = "true") -> Column:
         return F.max_by(column, F.expr(f"CASE WHEN type = '{kind}' AND {present} THEN `{seq}` END"))
 
+    for column in ("status", "note"):
+        if column not in events.columns:
+            later = later.withColumn(column, F.lit(None).cast("string"))
     has_dns = "dns" in events.columns
     folded = later.groupBy("id").agg(
         F.count_if(F.col("type") == "repeat").alias("_repeats"), latest("at", "repeat").alias("_seen"),

@@ -57,15 +57,14 @@ def _triage(spark, folder):
 
 
 _HOUR = "3600000000::BIGINT"
-_SILENCED_SQL = f"""silent AS (
-  SELECT o.*, NULL AS x FROM ord o),
-walk2 AS (SELECT k, rn, us, us AS anchor FROM ord WHERE rn = 1
-  UNION ALL SELECT o.k, o.rn, o.us, CASE
-    WHEN o.us - w.anchor < 24 * {_HOUR} THEN w.anchor
-    WHEN a.anchor IS NOT NULL AND a.anchor % 3 = 0 AND o.us >= a.anchor + {_HOUR}
-      AND (a.anchor % 2 <> 0 OR o.us < a.anchor + 90 * {_HOUR}) THEN w.anchor ELSE o.us END
-  FROM walk2 w JOIN ord o ON o.k = w.k AND o.rn = w.rn + 1
-  LEFT JOIN (SELECT DISTINCT k, anchor FROM walk) a ON a.k = w.k AND a.anchor = w.anchor)"""
+# ``known`` tells whether the open window starts where a first alert did, as
+# only those were marked.
+_SILENCED_SQL = f"""ord2 AS (SELECT k, rn, us, is_first FROM walk),
+walk2 AS (SELECT k, rn, us, us AS anchor, is_first AS known FROM ord2 WHERE rn = 1
+  UNION ALL SELECT k, rn, us, CASE WHEN quiet THEN anchor ELSE us END, CASE WHEN quiet THEN known ELSE is_first END FROM (
+    SELECT o.k, o.rn, o.us, o.is_first, w.anchor, w.known, o.us - w.anchor < 24 * {_HOUR} OR (w.known AND w.anchor % 3 = 0
+      AND o.us >= w.anchor + {_HOUR} AND (w.anchor % 2 <> 0 OR o.us < w.anchor + 90 * {_HOUR})) AS quiet
+    FROM walk2 w JOIN ord2 o ON o.k = w.k AND o.rn = w.rn + 1) q)"""
 
 
 @query("record_alerts_triaged", f"""WITH RECURSIVE {_KEYED_SQL}, {anchored_sql('keyed', 'key', 'seen', 1440)}, {_SILENCED_SQL},
@@ -151,8 +150,8 @@ def listed(spark, folder):
     return rows.select("id", F.unix_micros("created_at").alias("created_us"), "severity")
 
 
-@query("alerts_csv", f"""WITH {_STATE_SQL} SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms(created_at) % 1000 AS VARCHAR), 3, '0') || 'Z,' ||
-  strftime(last_seen, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms(last_seen) % 1000 AS VARCHAR), 3, '0') || 'Z,' || CAST(count AS VARCHAR) || ',' || status || ',' ||
+@query("alerts_csv", f"""WITH {_STATE_SQL} SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(created_at) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z,' ||
+  strftime(last_seen, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(last_seen) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z,' || CAST(count AS VARCHAR) || ',' || status || ',' ||
   severity || ',' || CAST(score AS VARCHAR) || ',' || domain || ',,' || chr(34) || 'A, ' || chr(34) || chr(34) || 'B' || chr(34) || chr(34) || chr(34) || ',keyword lure-word,' || '''' || issuer || ',log,' || CAST(base AS VARCHAR) || ',' || note AS line
 FROM state""")
 def csv(spark, folder):
