@@ -345,14 +345,22 @@ def detect(names: DataFrame, watch: CompiledWatchlist | PinnedWatchlist, keys: t
     if pinned.empty:
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema.fields if f.name in keys)
         return names.sparkSession.createDataFrame([], f"{kept + ', ' if kept else ''}{FINDING}")
-    rows = candidates(names.select(*keys, "domain"), pinned, keys, own_on_raw)
+    # Each distinct name is scored once; rows of the same name share its findings.
+    rows = candidates(names.select("domain"), pinned, [], own_on_raw)
     rows = prepare(rows.join(F.broadcast(pinned.table), "watch_no"))
     found = []
     if pinned.words or pinned.domains:
-        found.append(_finding(score_brands(rows.filter(F.col("watch.kind") == "brand")), keys))
+        found.append(_finding(score_brands(rows.filter(F.col("watch.kind") == "brand")), ["watch_no"]))
     if pinned.patterns:
-        found.append(_finding(score_patterns(rows.filter(F.col("watch.kind") == "pattern")), keys))
-    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        found.append(_finding(score_patterns(rows.filter(F.col("watch.kind") == "pattern")), ["watch_no"]))
+    scored = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    if not keys:
+        return scored.drop("watch_no")
+    # One row per name and entry on the scored side: a name that fills the
+    # other side is split by adaptive skew handling.
+    placed = candidates(names.select(*keys, "domain"), pinned, keys, own_on_raw).select(*keys, "domain", "watch_no")
+    joined = placed.join(scored, ["domain", "watch_no"])
+    return joined.select(*keys, *[c for c in scored.columns if c != "watch_no"])
 
 
 def best_per_certificate(findings: DataFrame, cert: tuple[str, ...], position: str = "pos") -> DataFrame:
