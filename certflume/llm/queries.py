@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, topk, urls, warc
+from . import decontaminate, pieces, topk, urls, warc
 from .frames import shared_folder
 
 QUERIES: dict = {}
@@ -37,6 +37,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+#: The public model that is read; a parameter of the operators.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op5_sentencepiece")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, decoded again: their number, a digest, and whether the text came back (with ▁ read as a space)."""
+    model = pieces.Model.load(PIECES)
+    coded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    both = pieces.decode(coded, model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                       F.col("decoded").eqNullSafe(F.translate("text", pieces.SPACE, " ")).alias("round_trip"))
+
+
 @query("op8_url_filter", urls.oracle())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
