@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pieces, topk, urls, warc
-from .frames import shared_folder
+from . import decontaminate, pieces, topk, toxicity, urls, warc
+from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op3_decontaminate")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
