@@ -284,7 +284,7 @@ def _fit(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     key, at = np.unique(x, axis=0, return_inverse=True)
     n = np.bincount(at.ravel())
     mean = np.bincount(at.ravel(), p) / n
-    return logistic(key.astype(np.float64), mean, n.astype(float), ridge=0.5)
+    return logistic(key.astype(np.float64), mean, n.astype(float), ridge=0.05)
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: list[str] | None = None) -> DataFrame:
