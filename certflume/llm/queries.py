@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pieces, topk, toxicity, urls, warc
+from . import decontaminate, pieces, quality, topk, toxicity, urls, warc
 from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
@@ -32,6 +32,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query("op2_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op3_decontaminate")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     marked = decontaminate.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
