@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, pieces, quality, topk, toxicity, urls, warc
+from . import decontaminate, language, pieces, quality, topk, toxicity, urls, warc
 from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
@@ -78,3 +78,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.payloads(warc.read(spark, archives), with_payload=False)
     return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         warc.page_of(F.col("refers")).alias("refers_to"))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
