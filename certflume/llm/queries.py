@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, pieces, quality, topk, toxicity, urls, warc
+from . import decontaminate, language, pieces, quality, substrings, topk, toxicity, urls, warc
 from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
@@ -66,6 +66,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("decoded").eqNullSafe(F.translate("text", pieces.SPACE, " ")).alias("round_trip"))
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 @query("op8_url_filter", urls.oracle())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
