@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .frames import quoted
 
-CRLF = b"\r\n"
+CRLF, GZIP = b"\r\n", b"\x1f\x8b"
 RECORD_END = "\r\n\r\n"
 #: Bytes of a block in one segment, and of body in one transfer chunk.
 SEGMENT_BYTES, CHUNK_BYTES = 8192, 2048
@@ -133,7 +133,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     rows = with_revisits(pages, page_id, url, html).mapInArrow(run, "record binary")
     (rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", RECORD_END)
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder))
+     .option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder))
 
 
 # ---- reading
@@ -142,16 +142,19 @@ RECORD = "record_id string, type string, uri string, refers string, digest strin
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record of the archives, segments as they are."""
+    """A row for each record of the archives, gzipped or not; segments as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
+
         kinds = [pa.string()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
         names = [x.split()[0] for x in RECORD.split(", ")]
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for f, block in parse(content.as_py()):
+                data = content.as_py()
+                for f, block in parse(gzip.decompress(data) if data[:2] == GZIP else data):
                     own = f["warc-record-id"]
                     number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
                     rows.append((own, f["warc-type"], f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"),
@@ -172,12 +175,10 @@ def reassemble(records: DataFrame) -> DataFrame:
     parts = records.where("number IS NOT NULL").groupBy("origin").agg(
         *[first(c) for c in ("type", "uri", "refers", "digest")], F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"))
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
     long = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"]))
     error = (F.when(F.col("parts")["number"] != F.sequence(F.lit(1), F.size("parts")), "segments are missing or repeated")
              .when(F.col("total").isNull(), "no last segment").when(F.col("total") != long, "the length differs from the stated total"))
-    # The blocks are joined in the Arrow step that decodes them, not by repeated concatenation.
-    del block
+    # The blocks are joined in the Arrow step that decodes them.
     joined = parts.select(F.col("origin").alias("record_id"), "type", "uri", "refers", "digest", F.col("parts")["block"].alias("blocks"), error.alias("error"))
     return whole.withColumn("blocks", F.array("block")).drop("block").select(*joined.columns).unionByName(joined)
 
