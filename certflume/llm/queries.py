@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, pieces, quality, substrings, topk, toxicity, urls, warc
+from . import decontaminate, language, near, pieces, quality, substrings, topk, toxicity, urls, warc
 from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
@@ -71,6 +71,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.digests(table(spark, folder, "documents"))
 
 
+@query("op7_near_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return near.clusters(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
 @query("op8_url_filter", urls.oracle())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
