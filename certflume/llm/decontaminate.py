@@ -240,15 +240,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "t
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast(phrases([(r.i, r.t) for r in part.toLocalIterator()], window))
-        out = _against(out, sent)
+        out = _against(out, sent, own)
     named = [F.col("__n_words").alias("n_words"), F.col("__hits").alias("spans"), F.col("__items").alias("items")]
     return out.select(*[quoted(c) for c in own], *named)
 
 
-def _against(df: DataFrame, sent) -> DataFrame:
+def _against(df: DataFrame, sent, keep: list[str]) -> DataFrame:
     """One step: what an earlier block found is in the row and is merged with what this one finds."""
-    keep = [c for c in df.columns if not c.startswith("__")]
-    n = len(keep)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         p: Phrases = sent.value
@@ -273,10 +271,8 @@ def _against(df: DataFrame, sent) -> DataFrame:
         return [batch.column("__text"), pa.array(w.counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), spans), pa.array(items, pa.list_(pa.string()))]
 
     packed = df.select(*[quoted(c) for c in keep], F.col("__t"), F.struct("__hits", "__items").alias("__had"))
-    out = extend(packed, "__t", make, struct("__t string, __n_words bigint, __hits array<struct<begin:int,end:int>>, __items array<string>"),
-                 size=4_000_000, keep=[*keep, "__had"])
-    assert len(keep) == n
-    return out.drop("__had")
+    return extend(packed, "__t", make, struct("__t string, __n_words bigint, __hits array<struct<begin:int,end:int>>, __items array<string>"),
+                  size=4_000_000, keep=[*keep, "__had"]).drop("__had")
 
 
 def hit_words(spans="spans"):

@@ -401,7 +401,7 @@ def dedup(docs: DataFrame, finish, schema: str, carry: list[str], doc_id: str =
             for batch in slices(iter(table.combine_chunks().to_batches()), "t"):
                 w = words(batch.column("t"), SPACED, False)
                 made.append(finish(batch, w, removed(w, batch.column("id").to_numpy(), found, window, gram)))
-        return pa.Table.from_batches(made) if made else empty
+        return pa.Table.from_batches(made).cast(empty.schema) if made else empty
 
     empty = to_arrow_schema(struct(schema)).empty_table()
     return grouped.groupBy("p").cogroup(runs.groupBy("p")).applyInArrow(last, schema)
@@ -432,12 +432,13 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     return dedup(docs, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string", [], **options)
 
 
-def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, out: str = "removed_words") -> DataFrame:
     """The documents with the removed words cut out of the text, each with the space before the next word; all columns are kept.
 
-    `removed_words` is appended (a column of that name is replaced).
+    `out` is appended: how many words went (a column of that name is replaced). A null text stays null.
     """
-    columns = [c for c in docs.columns if c.lower() != "removed_words"]
+    columns = [c for c in docs.columns if c.lower() != out.lower()]
+    others = [c for c in columns if c != text]
 
     def finish(batch: pa.RecordBatch, w: Words, gone: np.ndarray) -> pa.RecordBatch:
         raw = w.bytes.tobytes()
@@ -455,8 +456,10 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
             texts[d] = b"".join([*parts, raw[at:offsets[d + 1]]]).decode("utf-8", "replace")
         return pa.RecordBatch.from_arrays([batch.column("carry"), pa.array(texts, pa.string()), pa.array(lost.astype(np.int64))], ["carry", "t", "lost"])
 
-    inner = docs.select(F.struct(*[quoted(c) for c in columns]).alias("carry")).schema["carry"].dataType.simpleString()
-    out = dedup(docs, finish, f"carry {inner}, t string, lost bigint", columns, doc_id=doc_id, text=text, window=window, gram=gram)
-    # A null text stays null: it has nothing to cut.
-    whole = F.when(F.col("carry")[text].isNull(), F.lit(None)).otherwise(F.col("t"))
-    return out.select(*[whole.alias(c) if c == text else F.col("carry")[c].alias(c) for c in columns], F.col("lost").alias("removed_words"))
+    # A text travels once; whether it was null is all that is carried of it.
+    carried = docs.select(*[quoted(c) for c in others], F.col(quoted(text)).isNull().alias("__null"), F.col(quoted(doc_id)).alias("__doc_id"), F.col(quoted(text)).alias("__content"))
+    carry = [*others, "__null"]
+    inner = carried.select(F.struct(*[quoted(c) for c in carry]).alias("carry")).schema["carry"].dataType.simpleString()
+    found = dedup(carried, finish, f"carry {inner}, t string, lost bigint", carry, doc_id="__doc_id", text="__content", window=window, gram=gram)
+    whole = F.when(~F.col("carry")["__null"], F.col("t"))
+    return found.select(*[whole.alias(c) if c == text else F.col("carry")[c].alias(c) for c in columns], F.col("lost").alias(out))
