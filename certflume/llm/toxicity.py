@@ -204,12 +204,26 @@ class LabelModel:
         return sigmoid(logs[:, 1] - logs[:, 0])
 
 
+def _correlation(centred: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    cov = (centred * weight[:, None]).T @ centred
+    scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+    return cov / scale[:, None] / scale[None, :]
+
+
 def label_model(votes: np.ndarray, n: np.ndarray, steps: int = 40) -> LabelModel:
-    """Fit on distinct vote vectors and their counts. It starts from the majority of votes, labels outweighing the others."""
+    """Fit on distinct vote vectors and their counts. It starts from the majority of votes, labels outweighing the others.
+
+    Voters that nearly always agree are copies of one from the start: once their common opinion is taken
+    for the class, no correlation would remain to tell.
+    """
     voters = votes.shape[1]
-    lean = (votes[:, :-1] - 1.0).sum(1) + 6.0 * (votes[:, -1] - 1.0)
+    share = n / max(n.sum(), 1e-9)
+    copies = _correlation(votes - share @ votes, share) > 0.9
+    np.fill_diagonal(copies, True)
+    copies[-1] = copies[:, -1] = False
+    copies[-1, -1] = True
+    lean = (votes[:, :-1] - 1.0) @ (1 / copies.sum(1)[:-1]) + 6.0 * (votes[:, -1] - 1.0)
     p = sigmoid(lean)
-    own = np.ones(voters)
     for _ in range(steps):
         weight = np.stack([n * (1 - p), n * p], 1)
         table = np.empty((voters, 3, 2))
@@ -218,16 +232,12 @@ def label_model(votes: np.ndarray, n: np.ndarray, steps: int = 40) -> LabelModel
                 table[j, v] = weight[votes[:, j] == v].sum(0) + 0.5
         table = np.log(table / table.sum(1, keepdims=True))
         prior = np.log((weight.sum(0) + 1) / (n.sum() + 2))
-        # Correlation that remains given the class: voters that repeat each other share their evidence.
+        # Correlation that remains given the class (what chance and a rough class leave aside): voters that repeat each other share their evidence.
         remains = np.zeros((voters, voters))
         for y in range(2):
             w = weight[:, y] / max(weight[:, y].sum(), 1e-9)
-            centred = votes - w @ votes
-            cov = (centred * w[:, None]).T @ centred
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            remains += 0.5 * cov / scale[:, None] / scale[None, :]
-        np.fill_diagonal(remains, 0)
-        own = 1 / (1 + np.maximum(remains, 0).sum(1))
+            remains += 0.5 * _correlation(votes - w @ votes, w)
+        own = 1 / (copies.sum(1) + np.where(copies, 0, np.maximum(remains - 0.25, 0)).sum(1))
         own[-1] = 1.0
         model = LabelModel(table, own, prior)
         new = model.posterior(votes)
