@@ -111,7 +111,7 @@ def unswap(text: Column, variant: int = 0) -> Column:
     """Undo digit and pair swaps; variant 0 reads a one as l, variant 1 as i."""
     for pair, one in fv.SWAP_PAIRS:
         text = F.replace(text, F.lit(pair), F.lit(one))
-    return F.translate(text, fv.SWAP_DIGITS, fv.SWAP_LETTERS[variant])
+    return F.translate(text, "".join(fv.SWAPS), "".join(letters[variant] for letters in fv.SWAPS.values()))
 
 
 def letters(text: Column) -> Column:

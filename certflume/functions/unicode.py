@@ -16,7 +16,7 @@ from .. import fixed_values as fv
 
 _DROP = {c: None for lo, hi in fv.MARK_RANGES for c in range(lo, hi + 1)}
 _DIGITS = {z + d: str(d) for z in fv.ARABIC_DIGIT_ZEROS for d in range(10)}
-_LETTERS = {ord(a): b for odd, plain in fv.LOOKALIKES.values() for a, b in zip(odd, plain)}
+_LETTERS = {ord(a): b for table in fv.LOOKALIKES.values() for a, b in table.items()}
 _FOLD = _DIGITS | _LETTERS
 
 # Characters an ASCII host may never hold.

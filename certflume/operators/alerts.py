@@ -24,21 +24,22 @@ def alert_id(watch_id: Column, domain: Column, created_us: Column) -> Column:
 
 
 def alert_cert(parsed: Column, update_type: Column, fingerprints: Column, log: Column, index: Column,
-               link: Column, leaf: Column) -> Column:
-    """What an alert keeps of the certificate that raised it."""
+               link: Column, leaf: Column, names: int | None = None) -> Column:
+    """What an alert keeps of the certificate that raised it; ``names`` keeps the first names only."""
+    domains = parsed["all_domains"] if names is None else F.slice(parsed["all_domains"], 1, names)
     return F.struct(
         fingerprints["sha256"].alias("sha256"), update_type.alias("update_type"),
         issuer_name(parsed["issuer"]["O"], parsed["issuer"]["CN"]).alias("issuer"),
         parsed["not_before"].alias("not_before"), parsed["not_after"].alias("not_after"),
-        F.slice(parsed["all_domains"], 1, 100).alias("all_domains"), short_log_name(log["name"]).alias("log"),
+        domains.alias("all_domains"), short_log_name(log["name"]).alias("log"),
         log["url"].alias("log_url"), index.alias("cert_index"), link.alias("cert_link"), leaf.alias("leaf"))
 
 
 def triage_events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split status changes (id, at, status, note) into valid and rejected ones."""
     error = (F.when(F.col("status").isNotNull() & ~F.col("status").isin(*fv.STATUSES),
-                    F.lit("status must be one of " + ", ".join(fv.STATUSES)))
-             .when(F.length("note") > fv.MAX_NOTE, F.lit("a note is text up to 1000 characters")))
+                    F.lit("unknown status; known: " + ", ".join(fv.STATUSES)))
+             .when(F.length("note") > fv.MAX_NOTE, F.lit(f"notes are at most {fv.MAX_NOTE} characters")))
     checked = rows.withColumn("error", error)
     return checked.filter("error is null").drop("error"), checked.filter("error is not null")
 
@@ -52,7 +53,7 @@ def silence(findings: DataFrame, triage: DataFrame) -> DataFrame:
         findings.select(F.col("watch.id").alias("watch_id"), "domain", F.unix_micros("seen").alias("anchor")).distinct()
         .withColumn("id", alert_id(F.col("watch_id"), F.col("domain"), F.col("anchor")))
     )
-    until = F.lead(F.unix_micros("at")).over(W.partitionBy("id").orderBy("at"))
+    until = F.lead(F.unix_micros("at")).over(W.partitionBy("id").orderBy("at", "status"))
     marked = (
         triage.filter("status is not null")
         .withColumn("to", F.coalesce(until, F.lit((1 << 62)).cast("bigint")))

@@ -222,12 +222,15 @@ def chain_object(parsed: Column, der: Column, prints: Column) -> Column:
     return F.struct(*[values[f].alias(f) for f in CHAIN_FIELDS])
 
 
-def resolve_chains(entries: DataFrame, issuers: DataFrame, key: tuple[str, ...] = ("log_url", "index")) -> DataFrame:
+def resolve_chains(entries: DataFrame, issuers: DataFrame) -> DataFrame:
     """Add ``chain``: issuer certificates of ``chain_fps`` in order, missing ones left out.
 
-    Only keys and fingerprints travel: each distinct chain is resolved once
-    and joined back, so a common chain is never gathered per entry.
+    Each distinct chain is resolved once and joined back to its entries, so a
+    common chain is never gathered per entry. Entries that brought their chain
+    and have no fingerprints keep it.
     """
+    brought = F.col("chain") if "chain" in entries.columns else F.lit(None).cast("array<binary>")
+    entries = entries.withColumn("_brought", brought).drop("chain")
     lists = entries.select("chain_fps").distinct()
     found = (
         lists.select("chain_fps", F.posexplode("chain_fps").alias("pos", "fp"))
@@ -235,8 +238,9 @@ def resolve_chains(entries: DataFrame, issuers: DataFrame, key: tuple[str, ...]
         .groupBy("chain_fps").agg(F.array_sort(F.collect_list(F.struct("pos", "issuer_der"))).alias("_c"))
         .select("chain_fps", F.transform("_c", lambda c: c["issuer_der"]).alias("chain"))
     )
+    own = F.when(F.col("chain_fps").isNull(), F.col("_brought"))
     return entries.join(found, "chain_fps", "left").withColumn(
-        "chain", F.coalesce("chain", F.array().cast("array<binary>")))
+        "chain", F.coalesce("chain", own, F.array().cast("array<binary>"))).drop("_brought")
 
 
 def _message(certs: DataFrame, full: bool) -> Column:
@@ -263,7 +267,7 @@ def chain_objects(certs: DataFrame) -> DataFrame:
     return parsed.select("chain_der", chain_object(F.col("parsed"), F.col("chain_der"), fingerprints(F.col("chain_der"))).alias("object"))
 
 
-def full_messages(certs: DataFrame, key: tuple[str, ...] = ("log_url", "index")) -> DataFrame:
+def full_messages(certs: DataFrame) -> DataFrame:
     """Messages with the DER and the chain as objects.
 
     Every distinct chain certificate is parsed once; distinct chains are put

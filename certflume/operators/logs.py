@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed_values as fv
 from ..functions.render import tile_url
@@ -18,17 +18,17 @@ def lag(heads: DataFrame, positions: DataFrame) -> DataFrame:
     return joined.withColumn("lag", F.col("tree_size") - F.col("next_index"))
 
 
-def start_positions(lagging: DataFrame, backfill: int = 0, max_lag: int = 100_000) -> DataFrame:
+def start_positions(lagging: DataFrame, backfill: int = 0, max_lag: int | None = None) -> DataFrame:
     """Where each log continues.
 
     A log without a position, or with one beyond its tree, starts ``backfill``
-    entries before the tip; one further behind than ``max_lag`` jumps to the
-    tip and counts what it skips.
+    entries before the tip. Nothing is skipped unless ``max_lag`` is given: then
+    a log further behind jumps to the tip and counts what it skips.
     """
     size, saved = F.col("tree_size"), F.col("next_index")
     begin = F.when(saved.isNull() | (saved > size), F.greatest(F.lit(0), size - backfill)).otherwise(saved)
     moved = lagging.withColumn("_begin", begin).withColumn("_lag", size - F.col("_begin"))
-    far = F.col("_lag") > max_lag
+    far = F.lit(False) if max_lag is None else F.col("_lag") > max_lag
     return moved.select(
         "log_url", "tree_size", F.when(far, size).otherwise(F.col("_begin")).alias("next_index"),
         F.when(far, F.col("_lag")).otherwise(0).alias("skipped"))
@@ -83,6 +83,18 @@ def plan_pages(positions: DataFrame, page: int = 256, in_flight: int = 4) -> Dat
         "log_url", "start", (F.col("_stop") - 1).alias("end"))
 
 
-def positions(entries: DataFrame) -> DataFrame:
-    """The next index to read per log."""
-    return entries.groupBy("log_url").agg((F.max("index") + 1).alias("next_index"))
+def positions(entries: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """The next index to read per log: behind the last entry, but never beyond a hole.
+
+    A hole is a tile (``n`` of ``rejected``) that was not accepted, or a tile-wide
+    stretch of indices of which nothing was read between two that were.
+    """
+    wide = fv.TILE_WIDTH
+    whole = entries.groupBy("log_url").agg((F.max("index") + 1).alias("next_index"))
+    tiles = entries.select("log_url", F.floor(F.col("index") / wide).alias("n")).distinct()
+    after = F.lead("n").over(W.partitionBy("log_url").orderBy("n"))
+    holes = tiles.withColumn("_after", after).filter("_after > n + 1").select("log_url", ((F.col("n") + 1) * wide).alias("hole"))
+    if rejected is not None:
+        holes = holes.unionByName(rejected.select("log_url", (F.col("n") * wide).cast("bigint").alias("hole")))
+    first = holes.groupBy("log_url").agg(F.min("hole").alias("hole"))
+    return whole.join(first, "log_url", "full").select("log_url", F.least("next_index", "hole").alias("next_index"))

@@ -72,23 +72,37 @@ def cert_summary(df: DataFrame) -> DataFrame:
         short_log_name(F.col("log_name")).alias("log"), "index", "link", "seen")
 
 
-def recent(df: DataFrame, keep: int) -> DataFrame:
-    """The newest certificates, by time and position in their log."""
-    return df.orderBy(F.col("seen").desc(), F.col("index").desc()).limit(keep)
+def recent(df: DataFrame, keep: int | None) -> DataFrame:
+    """The newest certificates, by time and position in their log; all of them in that order without ``keep``."""
+    ordered = df.orderBy(F.col("seen").desc(), F.col("index").desc())
+    return ordered if keep is None else ordered.limit(keep)
 
 
-def search(certs: DataFrame, q: str = "", kind: str = "all", limit: int = 200, keep: int | None = None) -> DataFrame:
+def newest(df: DataFrame, keep: int) -> DataFrame:
+    """The certificates from the ``keep``-th newest place on, in no order.
+
+    Only the two columns of the order meet in one task; rows that tie with the
+    last place stay, all of them.
+    """
+    place = F.struct("seen", "index")
+    edge = df.select(place.alias("p")).orderBy(F.col("p").desc()).limit(keep).agg(F.min("p").alias("_edge"))
+    return df.join(F.broadcast(edge), place >= F.col("_edge")).drop("_edge")
+
+
+def search(certs: DataFrame, q: str = "", kind: str = "all", limit: int | None = None, keep: int | None = None,
+           names: int | None = None) -> DataFrame:
     """Certificates whose names or issuer hold a text, newest first.
 
-    ``keep`` narrows the search to the newest certificates first; without it
-    the whole table is searched. The needle is matched per name.
+    ``keep`` narrows the search to the newest certificates first, ``names`` to
+    the first names of each; without them everything is searched. ``limit`` cuts
+    the answer. The needle is matched per name.
     """
-    rows = certs if keep is None else recent(certs, keep)
+    rows = certs if keep is None else newest(certs, keep)
     rows = of_type(rows, kind)
     needle = re.sub(r"^\s+|\s+$", "", q).lower()
     if needle:
-        names = F.slice("parsed.all_domains", 1, 50)
-        shown = with_shown(rows.withColumn("_names", names), "_names", "_shown")
+        searched = F.col("parsed.all_domains") if names is None else F.slice("parsed.all_domains", 1, names)
+        shown = with_shown(rows.withColumn("_names", searched), "_names", "_shown")
         issuer = F.lower(issuer_name(F.col("parsed.issuer.O"), F.col("parsed.issuer.CN")))
         held = (F.exists("_names", lambda n: F.contains(n, F.lit(needle)))
                 | F.exists(F.filter(F.arrays_zip(F.col("_names").alias("n"), F.col("_shown").alias("s")), lambda p: p["n"] != p["s"]),
@@ -100,7 +114,7 @@ def search(certs: DataFrame, q: str = "", kind: str = "all", limit: int = 200, k
 
 def search_window(certs: DataFrame, keep: int | None = None) -> DataFrame:
     """How many certificates a search covers, and since when."""
-    rows = certs if keep is None else recent(certs, keep)
+    rows = certs if keep is None else newest(certs, keep)
     return rows.agg(F.count(F.lit(1)).alias("certificates"), F.min("seen").alias("since"))
 
 

@@ -121,7 +121,7 @@ def funnel(spark, folder):
 WHERE entry_type = 1 AND (contains(host, 'casino') OR contains(lower('Org ' || substr(org, 5) || ' ' || cn), 'casino'))
 ORDER BY seen DESC, idx DESC LIMIT 200""")
 def search(spark, folder):
-    return S.search(certs(spark, folder), " CASINO ", "pre").select("index", F.unix_micros("seen").alias("seen_us"))
+    return S.search(certs(spark, folder), " CASINO ", "pre", limit=200).select("index", F.unix_micros("seen").alias("seen_us"))
 
 
 @query("search_issuer", f"""WITH {CERTS_SQL} SELECT idx AS "index" FROM certs WHERE contains(lower(org || ' ' || cn), 'org 3 ca 3') ORDER BY seen DESC, idx DESC LIMIT 50""")

@@ -120,7 +120,7 @@ def positions(spark, folder):
 
 
 @query("parse_tree_heads", """SELECT o_orderkey, o_custkey AS tree_size, o_orderkey * 1000 AS timestamp, 32 AS root_bytes, '' AS error FROM orders
-UNION ALL SELECT -o_orderkey - 1, NULL, NULL, NULL, 'get-sth returned no tree_size' FROM orders""")
+UNION ALL SELECT -o_orderkey - 1, NULL, NULL, NULL, 'a tree head without tree_size' FROM orders""")
 def sth(spark, folder):
     o = table(spark, folder, "orders")
     good = F.to_json(F.struct(F.col("o_custkey").alias("tree_size"), (F.col("o_orderkey") * 1000).alias("timestamp"),
@@ -130,7 +130,7 @@ def sth(spark, folder):
 
 
 @query("parse_checkpoints", """SELECT o_orderkey, 'log.example/' || CAST(o_custkey AS VARCHAR) AS origin, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END AS tree_size,
-  'log.example/' || CAST(o_custkey AS VARCHAR) || ' x' AS signer, CASE WHEN o_orderkey % 5 = 0 THEN 'malformed checkpoint header' ELSE '' END AS error FROM orders""")
+  'log.example/' || CAST(o_custkey AS VARCHAR) || ' x' AS signer, CASE WHEN o_orderkey % 5 = 0 THEN 'the checkpoint''s first lines cannot be read' ELSE '' END AS error FROM orders""")
 def checkpoints(spark, folder):
     o = table(spark, folder, "orders")
     origin = F.concat(F.lit("log.example/"), F.col("o_custkey").cast("string"))

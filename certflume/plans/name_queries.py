@@ -162,8 +162,8 @@ _ENTRIES_SQL = """e AS (SELECT p_partkey, p_partkey % 5 AS k, lower(replace(p_br
 @query("normalize_watchlist", f"""WITH {_ENTRIES_SQL}
 SELECT 'e' || CAST(p_partkey AS VARCHAR) AS id, CASE WHEN k = 0 THEN b || '.test' ELSE '' END AS domains,
   CASE WHEN k = 0 THEN t WHEN k = 2 THEN replace(p_name, ' ', ',') ELSE '' END AS keywords,
-  CASE WHEN k = 1 THEN 'not a domain: *.' || upper(b) WHEN k = 3 THEN 'add at least one domain or keyword'
-       WHEN k = 4 AND p_size <= 25 THEN 'severity must be low, medium or high'
+  CASE WHEN k = 1 THEN 'cannot be a domain: *.' || upper(b) WHEN k = 3 THEN 'a brand without domains and keywords'
+       WHEN k = 4 AND p_size <= 25 THEN 'unknown severity'
        ELSE '' END AS errors FROM e""")
 def normalize(spark, folder):
     valid, rejected = normalize_watchlist(_entries(spark, folder))

@@ -9,9 +9,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Scoring costs far more per byte than a plain aggregate, so small
-    # exchanges keep their parallelism.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -35,6 +32,9 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.driver.memory", memory)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Scoring costs far more per byte than a plain aggregate: on small
+        # tables exchanges keep their parallelism.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators.alerts import DNS
 from ..operators.detect import EVIDENCE
@@ -42,11 +42,20 @@ def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
 def read_alert_events(spark: SparkSession, path: str) -> DataFrame:
     """An alert event log of JSON lines; blank and torn lines are skipped.
 
-    Lines without a ``seq`` are numbered in file order.
+    Lines without a ``seq`` are numbered by file name and place in the file,
+    above every number that is given.
     """
     lines = spark.read.schema(EVENTS + ", _corrupt_record string").option(
         "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    whole = lines.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
+    # Within a split row numbers rise; splits are few, and are put in order by name and start.
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.select("*", split.alias("_split"), F.monotonically_increasing_id().alias("_row"))
+    splits = placed.groupBy("_split").agg(F.max("seq").alias("_top"))
+    order = splits.select("_split", F.row_number().over(W.orderBy("_split")).cast("bigint").alias("_no"),
+                          F.coalesce(F.max("_top").over(W.partitionBy()), F.lit(0)).alias("_base"))
+    # The row's place in its split: the low bits of the row id.
+    behind = F.col("_base") + F.shiftleft(F.col("_no"), 33) + F.col("_row").bitwiseAND((1 << 33) - 1) + 1
+    whole = placed.join(order, "_split").withColumn("seq", F.coalesce("seq", behind)).drop("_split", "_row", "_no", "_base")
     kept = whole.filter("_corrupt_record is null and type is not null").drop("_corrupt_record")
     return kept.withColumn("id", F.coalesce("id", "alert.id")).withColumn("at", F.coalesce("at", "alert.created_at"))
 

@@ -23,7 +23,7 @@ def parse_sth(raw: DataFrame, text: str = "value") -> DataFrame:
         read.withColumn("tree_size", F.col("_j.tree_size")).withColumn("timestamp", F.col("_j.timestamp"))
         .withColumn("ts", F.timestamp_millis("_j.timestamp")).withColumn("root_hash", _bytes(F.col("_j.sha256_root_hash")))
         .withColumn("signature", _bytes(F.col("_j.tree_head_signature")))
-        .withColumn("error", F.when(F.col("tree_size").isNull(), "get-sth returned no tree_size"))
+        .withColumn("error", F.when(F.col("tree_size").isNull(), "a tree head without tree_size"))
         .withColumn("kind", F.lit("rfc6962")).drop("_j", text)
     )
 
@@ -44,9 +44,9 @@ def parse_checkpoints(raw: DataFrame, text: str = "value") -> DataFrame:
             _bytes(F.regexp_extract(s, " ([^ ]*)$", 1)).alias("sig"))))
     )
     error = (
-        F.when(F.size(halves) < 2, "checkpoint has no signature block")
-        .when((F.col("origin") == "") | F.col("tree_size").isNull(), "malformed checkpoint header")
-        .when(F.col("root_hash").isNull() | (F.octet_length("root_hash") != 32), "malformed checkpoint root hash"))
+        F.when(F.size(halves) < 2, "no signatures below the checkpoint")
+        .when((F.col("origin") == "") | F.col("tree_size").isNull(), "the checkpoint's first lines cannot be read")
+        .when(F.col("root_hash").isNull() | (F.octet_length("root_hash") != 32), "the checkpoint's hash is not 32 bytes"))
     return read.withColumn("error", error).withColumn("kind", F.lit("static")).drop("_lines", "_signed", text)
 
 
@@ -156,10 +156,11 @@ def verify_heads(heads: DataFrame, logs: DataFrame) -> DataFrame:
             .withColumn("_own", own).withColumn("_line", F.explode_outer("_own"))
             .withColumn("timestamp", F.conv(F.hex(F.substring("_line.sig", 5, 8)), 16, 10).cast("bigint"))
             .withColumn("_ok", _holds_udf(signed_bytes(F.col("timestamp"), F.col("tree_size"), F.col("root_hash")),
-                                          F.substring("_line.sig", 13, 1 << 20), "_key"))
+                                          F.substr(F.col("_line.sig"), F.lit(13)), "_key"))
         )
-        checked = lines.groupBy("log_url", *[c for c in heads.columns if c != "log_url"], "key").agg(
-            F.max("_ok").alias("_ok"), F.max(F.when(F.col("_ok"), F.col("timestamp"))).alias("timestamp"))
+        # By row, so that two equal polls stay two.
+        checked = lines.groupBy("_row", "log_url", *[c for c in heads.columns if c != "log_url"], "key").agg(
+            F.max("_ok").alias("_ok"), F.max(F.when(F.col("_ok"), F.col("timestamp"))).alias("timestamp")).drop("_row")
     else:
         checked = keyed.withColumn("_ok", _holds_udf(
             signed_bytes(F.col("timestamp"), F.col("tree_size"), F.col("root_hash")), "signature", "_key")).drop("_key")

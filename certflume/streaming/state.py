@@ -85,8 +85,8 @@ def dedup_stream(entries: DataFrame, key: str = "sha256", ts: str = "seen", ttl:
 class _Recorder(StatefulProcessor):
     """Turns findings and triage of a key into alert and repeat rows."""
 
-    def __init__(self, length_us: int):
-        self.length_us = length_us
+    def __init__(self, length_us: int, horizon_us: int | None = None):
+        self.length_us, self.horizon_us = length_us, horizon_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -114,8 +114,10 @@ class _Recorder(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if anchor is not None:
             self.latest.update((anchor, status))
-            if status != "false_positive":  # a silenced key stays silent for good
-                self.handle.registerTimer((anchor + self.length_us) // 1000 + 1)
+            # A mark may come long after its alert, so the key's last alert (two values) stays
+            # known; a silenced key stays silent for good.
+            if self.horizon_us is not None and status != "false_positive":
+                self.handle.registerTimer((anchor + max(self.length_us, self.horizon_us)) // 1000 + 1)
         out = batch[["watch_id", "domain", "seen", "body"]].copy()
         out["type"], out["anchor"] = kinds, anchors
         yield out
@@ -143,16 +145,19 @@ def tagged(findings: DataFrame, triage: DataFrame | None = None) -> DataFrame:
     return left.unionByName(right)
 
 
-def record_stream(events: DataFrame, window: str = "24 hours", lateness: str = "1 minute") -> DataFrame:
+def record_stream(events: DataFrame, window: str = "24 hours", lateness: str = "1 minute", triage_within: str | None = None) -> DataFrame:
     """Alert log rows of a ``tagged`` stream: alert, repeat and status.
 
+    The last alert of each key is remembered for good, as a false-positive mark
+    can arrive at any time; ``triage_within`` forgets it that long after the alert.
+
     The id of an alert is the hash that batch recording gives it, so both
     write the same log.
     """
     use_rocksdb(events.sparkSession)
     stamped = events.withColumn("at_us", F.unix_micros("seen")).withWatermark("seen", lateness)
     recorded = stamped.groupBy("watch_id", "domain").transformWithStateInPandas(
-        statefulProcessor=_Recorder(micros(window)), outputStructType=RECORDED, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=_Recorder(micros(window), None if triage_within is None else micros(triage_within)), outputStructType=RECORDED, outputMode="Append", timeMode="EventTime")
     return recorded.withColumn("id", alert_id(F.col("watch_id"), F.col("domain"), F.col("anchor")))
 
 
