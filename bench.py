@@ -10,7 +10,7 @@ from certflume.session import local_session
 from certflume.plans import catalogue
 
 QUERIES = ("host_from", "detect_findings", "best_per_certificate", "drop_copies", "record_alerts", "alert_state",
-           "insights_hour", "search", "plan_tiles")
+           "insights_hour", "search", "plan_tiles", "parse_certificates")
 
 
 def main() -> None:

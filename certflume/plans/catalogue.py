@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import alert_queries, certificate_queries, detection_queries, figure_queries, log_queries, name_queries  # noqa: F401
+    from . import alert_queries, certificate_queries, detection_queries, figure_queries, flow_queries, log_queries, name_queries  # noqa: F401

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,3 +43,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as it is now, from a copy in the folder of ``spark.checkpoint.dir``.
+
+    For what several later steps read and is dear to make; a folder of our own
+    is taken only where that setting is missing.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="certflume-"))
+    return df.checkpoint()
