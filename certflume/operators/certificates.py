@@ -256,8 +256,9 @@ def _message(certs: DataFrame, full: bool) -> Column:
     return F.struct(F.lit("certificate_update").alias("message_type"), F.struct(*fields).alias("data"))
 
 
-def lite_messages(certs: DataFrame) -> DataFrame:
-    return certs.select(_message(certs, False).alias("message"))
+def lite_messages(certs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Messages without DER and chain; ``carry`` names columns that stay beside them."""
+    return certs.select(_message(certs, False).alias("message"), *carry)
 
 
 def chain_objects(certs: DataFrame) -> DataFrame:
@@ -267,7 +268,7 @@ def chain_objects(certs: DataFrame) -> DataFrame:
     return parsed.select("chain_der", chain_object(F.col("parsed"), F.col("chain_der"), fingerprints(F.col("chain_der"))).alias("object"))
 
 
-def full_messages(certs: DataFrame) -> DataFrame:
+def full_messages(certs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Messages with the DER and the chain as objects.
 
     Every distinct chain certificate is parsed once; distinct chains are put
@@ -282,7 +283,7 @@ def full_messages(certs: DataFrame) -> DataFrame:
         "_chain_key", F.transform("_c", lambda c: c["object"]).alias("chain_objects"))
     empty = F.array().cast(built.schema["chain_objects"].dataType)
     ready = marked.join(built, "_chain_key", "left").withColumn("chain_objects", F.coalesce("chain_objects", empty))
-    return ready.select(_message(ready, True).alias("message"))
+    return ready.select(_message(ready, True).alias("message"), *carry)
 
 
 def domains_messages(certs: DataFrame) -> DataFrame:
