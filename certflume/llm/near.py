@@ -7,9 +7,10 @@
 2. In every band bucket each class meets the bucket's smallest one. Sketches drop pairs
    that are clearly apart; the rest is confirmed on the full sets.
 3. Confirmed links make components. Where a bucket still holds classes of different
-   components, all pairs across them are compared by sketch, block against block,
-   and what passes is confirmed too. So no link depends on who happened to be smallest,
-   and a group of copies that is already one component costs no pairs.
+   components, those outside its largest are compared with all, block against block:
+   by sketch, then on full sets. So no link depends on who happened to be smallest,
+   a group of copies that is already one component costs no pairs, and no pair is a row
+   before it is a link.
 4. Components again, and every document gets its class's.
 
 A bucket is never one list in one task unless its classes are still apart, and
@@ -215,36 +216,74 @@ def components(links: DataFrame) -> DataFrame:
 # ---- pairs across components
 
 
-def across(bands: DataFrame, classes: DataFrame, found: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket and different components whose sketches pass and that were not tried: every block of a bucket against every other."""
-    least = loosest(threshold)
+def across(bands: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between classes of one bucket and different components.
+
+    Of a bucket's components the largest is not compared with itself: its members are cut into
+    blocks, each of which meets the others; these, mostly few, meet each other too. A pair is
+    looked at in the first band that it shares. Inside a block pairs that the sketches let
+    pass are confirmed on full sets, most similar first; once a link is found between two
+    components, their other pairs decide nothing and are left. So only links are rows.
+    """
+    least = loosest(percent / 100)
     labelled = bands.join(found, "c", "left").select("band", "c", F.coalesce("component", "c").alias("component"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi AND n > 2")
-    # Of a bucket of two the one pair was tried.
-    rows = labelled.join(open_.select("band", "n"), "band").join(classes.select("c", "sketch"), "c")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    # Block i meets block j in the group (min, max); a block is copied once per other block.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "component", "sketch")
+    sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    # Of a bucket of two the one pair was a star.
+    open_ = (sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+             .where("kinds > 1 AND all > 2").select("band", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("n")) / BLOCK).cast("int").alias("others")))
+    rows = labelled.join(open_, "band").withColumn("is_main", F.col("component") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    meets = F.when(F.col("is_main"), F.transform(span("others"), lambda j: place(0, F.col("own"), j))).otherwise(F.concat(
+        F.transform(span("mains"), lambda i: place(0, i, F.col("own"))), F.transform(span("others"), lambda t: place(1, F.least("own", t), F.greatest("own", t)))))
+    rows = rows.select("band", "c", "component", "is_main", "own", F.inline(meets))
+    rows = rows.join(classes, "c").join(texts, "c")
 
     def compare(table: pa.Table) -> pa.Table:
-        own, c, comp = (table.column(x).to_numpy() for x in ("own", "c", "component"))
+        c, comp, own, main = (table.column(x).to_numpy() for x in ("c", "component", "own", "is_main"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(c), -1).view(np.uint64)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for x in left:
-            apart = right[(comp[right] != comp[x]) & ((i != j) | (c[right] > c[x]))]
-            if len(apart):
-                hit = apart[estimated(sketch[x], sketch[apart]) >= least]
-                a.append(np.minimum(c[x], c[hit]))
-                b.append(np.maximum(c[x], c[hit]))
-        join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": join(a), "b": join(b)})
-
-    pairs = rows.groupBy("band", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+        band = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(len(c), -1)
+        kind, i, j, here = (table.column(x)[0].as_py() for x in ("kind", "i", "j", "band"))
+        left = np.flatnonzero(main if kind == 0 else own == i)
+        right = np.flatnonzero(~main if kind == 0 else own == j)
+        pairs: list[tuple[np.ndarray, ...]] = []
+        for x in right:
+            apart = left[comp[left] != comp[x]]
+            if kind and i == j:
+                apart = apart[c[apart] < c[x]]
+            first = (band[apart] == band[x]).argmax(1)
+            apart = apart[band[x][first] == here]
+            likely = estimated(sketch[apart], sketch[x])
+            keep = likely >= least
+            pairs.append((likely[keep], apart[keep], np.full(int(keep.sum()), x)))
+        out: list[tuple[int, int]] = []
+        if pairs:
+            likely, a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
+            parent: dict[int, int] = {}
+            sets: dict[int, np.ndarray] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            def full(x: int) -> np.ndarray:
+                if x not in sets:
+                    sets[x] = shingles(words(table.column("t").slice(x, 1).combine_chunks(), SPACED, True), k)[0]
+                return sets[x]
+
+            for n in np.lexsort((b, a, -likely)).tolist():
+                x, y = int(a[n]), int(b[n])
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    both = len(np.intersect1d(full(x), full(y), assume_unique=True))
+                    if 100 * both >= percent * (len(full(x)) + len(full(y)) - both):
+                        parent[max(p, q)] = min(p, q)
+                        out.append((min(int(c[x]), int(c[y])), max(int(c[x]), int(c[y]))))
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return rows.groupBy("band", "kind", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -267,12 +306,23 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     texts = docs.select(F.col(quoted(doc_id)).cast("long").alias("c"), F.col(quoted(text)).cast("string").alias("t")).where("c IS NOT NULL")
     links = saved(confirmed(passing(stars, threshold), texts, shingle, percent, groups))
     found = components(links)
-    crossing = saved(across(bands.select("band", "c"), classes, found, stars.select("a", "b"), threshold))
+    crossing = saved(across(bands.select("band", "c"), classes, found, texts, shingle, percent))
     if not crossing.isEmpty():
-        links = links.unionByName(confirmed(crossing, texts, shingle, percent, groups))
-        found = components(links)
+        found = components(links.unionByName(crossing))
     named = smallest.join(found, "c", "left").select(*set_key, F.coalesce("component", "c").alias("component"))
     judged = sigs.join(named, set_key, "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = judged.select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The contract of op7 as DuckDB SQL, for tables of a few thousand documents.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM d, unnest(range(1, greatest(len(ws) - 2, 2))) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.size + y.size - shared)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
