@@ -272,7 +272,7 @@ def _against(df: DataFrame, sent, keep: list[str]) -> DataFrame:
 
     packed = df.select(*[quoted(c) for c in keep], F.col("__t"), F.struct("__hits", "__items").alias("__had"))
     return extend(packed, "__t", make, struct("__t string, __n_words bigint, __hits array<struct<begin:int,end:int>>, __items array<string>"),
-                  size=4_000_000, keep=[*keep, "__had"]).drop("__had")
+                  size=1_000_000, keep=[*keep, "__had"]).drop("__had")
 
 
 def hit_words(spans="spans"):
@@ -283,3 +283,17 @@ def judged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`mark` with n_hit and contaminated: a twentieth of a document's words or more are hit."""
     out = mark(docs, benchmark, **options).withColumn("n_hit", hit_words())
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+#: The contract as DuckDB SQL, for tables of a few million words.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+phrases AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS s FROM b, unnest(range(1, greatest(len(ws) - 11, 2))) t(i) WHERE len(ws) > 0),
+windows AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM phrases) l, unnest(range(1, len(ws) - n + 2)) t(i)),
+found AS (SELECT doc_id, i, n, item_id FROM windows JOIN phrases USING (n, s)),
+hits AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM found) f, unnest(range(n)) r(j) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS listed FROM found WHERE item_id IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
