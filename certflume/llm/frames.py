@@ -12,6 +12,15 @@ from pyspark.sql.types import StructField, StructType
 from .text import slices
 
 
+#: Rows of one Arrow batch between Spark and Python: with texts of thousands of characters the usual 10,000 take much memory.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -22,12 +31,13 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[quoted(c) for c in df.columns if c.lower() not in gone])
 
 
-def extend(df: DataFrame, text: str, make: Callable[[pa.RecordBatch], list[pa.Array]], added: StructType, size: int = 2_000_000,
+def extend(df: DataFrame, text: str, make: Callable[[pa.RecordBatch], list[pa.Array]], added: StructType, size: int = 500_000,
            keep: list[str] | None = None) -> DataFrame:
     """Append to each row what `make` gives for a batch of about `size` bytes of text; nothing is shuffled.
 
     `keep`: columns of the result besides the added ones (all, by default); clashing ones are replaced.
     """
+    small_batches(df.sparkSession)
     gone = {f.name.lower() for f in added.fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in gone]
     source = df.select(*[quoted(c) for c in kept], F.col(quoted(text)).cast("string").alias("__text"))
@@ -51,6 +61,7 @@ def field(name: str, kind) -> StructField:
 
 def total_bytes(df: DataFrame, *columns: str) -> int:
     """Bytes of the given string or binary columns over all rows."""
+    small_batches(df.sparkSession)
     size = sum((F.coalesce(F.octet_length(F.col(quoted(c))), F.lit(0)) for c in columns), F.lit(0).cast("long"))
     return df.agg(F.sum(size)).first()[0] or 0
 

@@ -41,7 +41,7 @@ WINDOW, GRAM = 13, 5
 #: Id of rows without one.
 LAST = (1 << 63) - 1
 #: Text bytes in a group of documents, minimizers in a message of a task, words in one automaton.
-GROUP_BYTES, TASK_HASHES, SHARD_WORDS = 16 << 20, 1_000_000, 60_000
+GROUP_BYTES, TASK_HASHES, SHARD_WORDS = 16 << 20, 400_000, 40_000
 
 
 # ---- passages of a batch
@@ -103,7 +103,7 @@ def _minimizers(rows: DataFrame, shards: int, window: int, gram: int) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([part[c].tobytes()], pa.binary()) for c in ("hash", "p", "low", "high")]],
                                                      ["b", "hash", "p", "low", "high"])
 
-        for batch in slices(batches, "t", 4_000_000):
+        for batch in slices(batches, "t", 1_000_000):
             w = words(batch.column("t"), SPACED, False)
             found = passages(w, w.hashes(), window, gram)
             part = np.zeros(len(found.hash), kind)
@@ -463,3 +463,16 @@ def strip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     found = dedup(carried, finish, f"carry {inner}, t string, lost bigint", carry, doc_id="__doc_id", text="__content", window=window, gram=gram)
     whole = F.when(~F.col("carry")["__null"], F.col("t"))
     return found.select(*[whole.alias(c) if c == text else F.col("carry")[c].alias(c) for c in columns], F.col("lost").alias(out))
+
+
+#: The contract as DuckDB SQL, for tables of a few million words.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM d, unnest(range(1, len(ws) - 11)) t(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM windows JOIN firsts USING (s), range(13) r(j) WHERE first < doc_id),
+listed AS (SELECT doc_id, k, ws[k] AS word FROM d, unnest(range(1, len(ws) + 1)) t(k)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM listed ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""

@@ -146,7 +146,7 @@ def within(w: Words, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + k <= last)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece's texts have `size` bytes at most, or it is one row."""
     for batch in batches:
         if not batch.num_rows:

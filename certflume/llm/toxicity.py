@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import crc_mod, extend, quoted, struct
+from .frames import crc_mod, extend, quoted, small_batches, struct
 from .linear import FIT_ROWS, labelled_sample, logistic, sigmoid
 from .text import ALNUM, Words, slices, string_bytes, words
 
@@ -83,10 +83,10 @@ def term_counts(sample: DataFrame, text: str) -> DataFrame:
             part["term"], part["n"], part["toxic"] = value, 1, batch.column("__y").to_numpy()[doc]
             held.append(part)
             size += len(part)
-            if size > 2_000_000:
+            if size > 500_000:
                 held = [merged()]
                 size = len(held[0])
-                if size > 1_000_000:
+                if size > 250_000:
                     yield _rows(held[0])
                     held, size = [], 0
         if held:
@@ -263,6 +263,7 @@ class Toxicity:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Toxicity:
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     may = docs.where(crc_mod(doc_id, 5) != 0).select(F.col(quoted(doc_id)).cast("long").alias("__id"), F.col(quoted(text)).cast("string").alias("t"))
     sample = F.broadcast(labelled_sample(labels, label, doc_id, rows))  # `rows` bounds it
