@@ -22,14 +22,17 @@ Nulls: a null text has null ids, an empty one none. `decode` of null is null.
 from __future__ import annotations
 
 import pickle
-import re
+import sys
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .frames import extend, quoted, saved, struct, without
+from .frames import extend, quoted, saved, small_batches, struct, without
+from .text import BASE, inverse, mix, powers, prefix_sums
 
 SPACE = "▁"
 #: Characters in a chunk; longer documents are scanned in parallel.
@@ -37,30 +40,62 @@ CHUNK_CHARS = 1 << 15
 #: Matrices in one step of the scan.
 GROUP = 64
 #: Units and pairs that a task remembers before it starts afresh.
-MEMORY = 300_000
+UNITS, PAIRS = 600_000, 1_000_000
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 500_000
+#: Characters of units that are worked on together; longer ones go one by one.
+LONG_UNIT = 64
 NEVER = float("-inf")
 
 
+#: Nothing remembered yet: unit hashes, where their ids begin, ids. The one entry stands for no unit.
+EMPTY = np.array([(1 << 64) - 1], np.uint64), np.array([0, 0], np.int64), np.zeros(0, np.int32)
+
+
 class Model:
     """Pieces, scores and kind of a SentencePiece model, with the lattice's rules."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, dummy_prefix: bool):
-        normal = {p: (i, s) for i, (p, s, kind) in enumerate(pieces) if kind in (1, 4)}
-        self.ids = {p: i for p, (i, _) in normal.items()}
-        self.scores = {p: s for p, (_, s) in normal.items()}
+        self.listed = pieces
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == 6}
         self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
         self.texts = [p for p, _, _ in pieces]
         self.kinds = [kind for _, _, kind in pieces]
         self.bpe, self.dummy_prefix = bpe, dummy_prefix
-        self.longest = max(map(len, self.ids), default=1)
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        self.letters = set().union(*self.ids)
-        self.least = min(self.scores.values(), default=0.0) - 10
-        self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.longest = max((len(p) for p, _, kind in pieces if kind in (1, 4)), default=1)
+        self._walk: tuple[np.ndarray, np.ndarray] | None = None
+        self._remembered = EMPTY
+        self._spelled: tuple[np.ndarray, np.ndarray] | None = None
+        self._known = np.array([-1], np.int64), np.array([False])
+        self._follows: dict[int, bool] = {}
         self._pairs: dict = {}
         self._units: dict = {}
-        self._split = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if not self.inner_space else "(?s:.+)")
+
+    # Only encoding needs these.
+
+    @cached_property
+    def ids(self) -> dict[str, int]:
+        return {p: i for i, (p, _, kind) in enumerate(self.listed) if kind in (1, 4)}
+
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        return {p: s for p, s, kind in self.listed if kind in (1, 4)}
+
+    @cached_property
+    def prefixes(self) -> set[str]:
+        return {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+
+    @cached_property
+    def letters(self) -> set[str]:
+        return set().union(*self.ids)
+
+    @cached_property
+    def least(self) -> float:
+        return min(self.scores.values(), default=0.0) - 10
+
+    @cached_property
+    def inner_space(self) -> bool:
+        return any(SPACE in p.lstrip(SPACE) for p in self.ids)
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -126,7 +161,7 @@ class Model:
             key = (before, piece)
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) > MEMORY:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             merged = self.merge(before + piece)
             known = self._pairs[key] = 0.0 if merged == ([before, piece] if before else [piece]) else NEVER
@@ -138,33 +173,169 @@ class Model:
         """Ids of the best path of a text between two cuts."""
         known = self._units.get(text)
         if known is None:
-            if len(self._units) > MEMORY:
+            if len(self._units) > UNITS:
                 self._units.clear()
-            known = self._units[text] = self.ids_of(self.prefix_path(text) if self.bpe else self.path(text, 0, len(text), (0, ""), None))
+            known = self.ids_of(self.path(text, 0, len(text), (0, ""), None))
+            self._units[text] = known
         return known
 
-    def prefix_path(self, text: str) -> list[str]:
-        """The path of a BPE unit: as only one sequence of pieces is valid for each prefix, each end needs one node."""
-        n, ids, prefixes, longest = len(text), self.ids, self.prefixes, self.longest
-        last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        for p in range(n):
-            before = last[p]
-            if before is None:
-                continue
-            if text[p] not in ids and last[p + 1] is None and self.link(before, text[p]) == 0:
-                last[p + 1] = text[p]
-            for end in range(p + 1, min(n, p + longest) + 1):
-                piece = text[p:end]
-                if piece not in prefixes:
-                    break
-                if last[end] is None and piece in ids and self.link(before, piece) == 0:
-                    last[end] = piece
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(out[-1])
-        return out[::-1]
+    def between_cuts(self, word: str) -> list[str]:
+        cuts = [0, *(i for i in range(1, len(word)) if self.cut(word, i)), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of all beginnings of pieces, and the piece that each is (-1: none)."""
+        if self._walk is None:
+            listed = sorted(self.prefixes)
+            key = hashed_ranges(code_points(listed))(*_bounds([len(x) for x in listed]))
+            order = np.argsort(key)
+            self._walk = key[order], np.array([self.ids.get(listed[i], -1) for i in order], np.int64)
+            # Of each code point: 2 if it is a piece, 1 if it is in one, else 0.
+            self._kind = np.zeros(0x110000, np.uint8)
+            self._kind[[ord(c) for c in self.letters]] = 1
+            self._kind[[ord(p) for p in self.ids if len(p) == 1]] = 2
+        return self._walk
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of escaped texts one after the other, and where each text's begin. Each distinct unit is worked on once."""
+        self._tables()
+        chars = code_points(texts)
+        length = np.array([len(t) for t in texts], np.int64)
+        first = np.r_[0, np.cumsum(length)]
+        if not len(chars):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        kind = self._kind[chars]
+        cut = np.zeros(len(chars) + 1, bool)
+        cut[first] = True
+        if not self.inner_space:
+            space = chars == ord(SPACE)
+            cut[1:-1] |= space[1:] & ~space[:-1]
+        cut[1:-1] |= (kind[1:] == 0) | (kind[:-1] == 0)
+        bounds = np.flatnonzero(cut)
+        begin, end = bounds[:-1], bounds[1:]
+        hashed = hashed_ranges(chars)
+        key, one, back = np.unique(hashed(begin, end), return_index=True, return_inverse=True)
+        known, at, flat = self._remembered
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        new = np.flatnonzero(known[place] != key)
+        if len(new):
+            if len(known) + len(new) > UNITS:
+                # Start afresh with what this batch needs.
+                self._remembered = EMPTY
+                return self.encode_all_known(key, one, back, begin, end, first, chars, kind, hashed, np.arange(len(key)))
+            return self.encode_all_known(key, one, back, begin, end, first, chars, kind, hashed, new)
+        return self._gathered(place, back, begin, first)
+
+    def encode_all_known(self, key, one, back, begin, end, first, chars, kind, hashed, new):
+        """Learn the new units, then look all up."""
+        b, e = begin[one[new]], end[one[new]]
+        plain = np.add.reduceat((kind != 2).astype(np.int64), begin)[one[new]] == 0
+        plain &= (e - b <= LONG_UNIT) & self.bpe
+        parts: list = [None] * len(new)
+        quick = np.flatnonzero(plain)
+        if len(quick):
+            ids, offsets = self.paths(b[quick], e[quick], hashed)
+            for n, i in enumerate(quick.tolist()):
+                parts[i] = ids[offsets[n]:offsets[n + 1]]
+        for i in np.flatnonzero(~plain).tolist():
+            text = chars[b[i]:e[i]].tobytes().decode("utf-32-le", "surrogatepass")
+            parts[i] = np.array(self.unit(text), np.int32)
+        known, at, flat = self._remembered
+        length = np.array([len(x) for x in parts], np.int64)
+        keys = np.concatenate([known, key[new]])
+        sizes = np.concatenate([np.diff(at), length])
+        starts = np.concatenate([at[:-1], len(flat) + np.cumsum(length) - length])
+        order = np.argsort(keys, kind="stable")
+        every = np.concatenate([flat, *parts]).astype(np.int32)
+        sizes, starts = sizes[order], starts[order]
+        total = np.r_[0, np.cumsum(sizes)]
+        self._remembered = keys[order], total, every[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        return self._gathered(np.searchsorted(self._remembered[0], key), back, begin, first)
+
+    def _gathered(self, place: np.ndarray, back: np.ndarray, begin: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, at, flat = self._remembered
+        start, size = at[place][back], (at[place + 1] - at[place])[back]
+        total = np.r_[0, np.cumsum(size)]
+        return flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total[np.searchsorted(begin, first)]
+
+    def paths(self, unit_begin: np.ndarray, unit_end: np.ndarray, hashed) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of BPE units of whole pieces, ranges of characters. Only one sequence of pieces is valid for each prefix of a
+        unit, so each end needs one node, and all units take the step from a place at the same time."""
+        keys, values = self._tables()
+        length = unit_end - unit_begin
+        first = np.cumsum(length) - length
+        # The pieces that may start at each character: grown letter by letter as long as any piece begins so.
+        at = np.arange(int(length.sum()))
+        word = np.repeat(np.arange(len(length)), length)
+        shift = (unit_begin - first)[word]
+        stop = (first + length)[word]
+        begins, ends, names = [], [], []
+        for n in range(1, self.longest + 1):
+            at = at[at + n <= stop[at]]
+            h = hashed(at + shift[at], at + shift[at] + n)
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = keys[place] == h
+            at, piece = at[known], values[place[known]]
+            whole = piece >= 0
+            begins.append(at[whole])
+            ends.append(at[whole] + n)
+            names.append(piece[whole])
+        begin, end, name = (np.concatenate(x) for x in (begins, ends, names))
+        # A node stands at the last character of its piece.
+        last = np.full(len(word), -1, np.int64)
+        origin = np.zeros(len(word), np.int64)
+        step = begin - first[word[begin]]
+        order = np.argsort(step, kind="stable")
+        begin, end, name, step = begin[order], end[order], name[order], step[order]
+        bounds = np.searchsorted(step, np.arange(int(length.max(initial=0)) + 1))
+        for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            s, e, piece = begin[a:b], end[a:b], name[a:b]
+            before = last[s - 1] if p else np.full(b - a, -1)
+            open_ = (last[e - 1] < 0) & ((before >= 0) | (p == 0))
+            s, e, piece, before = s[open_], e[open_], piece[open_], before[open_]
+            valid = self.follow(before, piece)
+            last[e[valid] - 1], origin[e[valid] - 1] = piece[valid], s[valid]
+        # Back from the ends: all units take a piece at a time.
+        live, here = np.arange(len(length)), first + length
+        who, what = [], []
+        while len(live):
+            who.append(live)
+            what.append(last[here - 1])
+            here = origin[here - 1]
+            more = here > first[live]
+            live, here = live[more], here[more]
+        unit, ids = np.concatenate(who[::-1]), np.concatenate(what[::-1])
+        order = np.argsort(unit, kind="stable")
+        return ids[order].astype(np.int32), np.r_[0, np.cumsum(np.bincount(unit, minlength=len(length)))]
+
+    def follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which pieces are valid after these (-1: after a cut)."""
+        key = (before + 1 << 32) | piece
+        keys, values = self._known
+        out = np.zeros(len(key), bool)
+        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[place] == key
+        out[hit] = values[place[hit]]
+        rest, back = np.unique(key[~hit], return_inverse=True)
+        if len(rest):
+            fresh = np.zeros(len(rest), bool)
+            for n, k in enumerate(rest.tolist()):
+                known = self._follows.get(k)
+                if known is None:
+                    a, b = (self.texts[(k >> 32) - 1] if k >> 32 else ""), self.texts[k & 0xFFFFFFFF]
+                    known = self._follows[k] = self.merge(a + b) == ([a, b] if a else [b])
+                fresh[n] = known
+            out[~hit] = fresh[back]
+        if len(self._follows) > 0.1 * len(keys) + 1000:
+            # What was learned joins the sorted pairs.
+            if len(keys) > PAIRS:
+                keys, values = keys[:0], values[:0]
+            more = np.fromiter(self._follows, np.int64, len(self._follows))
+            keys, values = np.concatenate([keys, more]), np.concatenate([values, np.fromiter(self._follows.values(), bool, len(more))])
+            order = np.argsort(keys)
+            self._known = keys[order], values[order]
+            self._follows = {}
+        return out
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -180,23 +351,7 @@ class Model:
 
     def encode(self, escaped: str) -> list[int]:
         """Ids of a text that starts and ends at a cut."""
-        out: list[int] = []
-        units, letters = self._units, self.letters
-        for word in self._split.findall(escaped):
-            ids = units.get(word)
-            if ids is None:
-                if letters.issuperset(word):
-                    ids = self.unit(word)
-                else:
-                    ids, begin = [], 0
-                    for i in range(1, len(word) + 1):
-                        if self.cut(word, i):
-                            ids += self.unit(word[begin:i])
-                            begin = i
-                    if len(word) < 64:
-                        units[word] = ids
-            out += ids
-        return out
+        return self.encode_all([escaped])[0].tolist()
 
     # ---- chunks
 
@@ -278,27 +433,44 @@ class Model:
         return (self.ids_of(self.path(text, lo, first, entry, None)) + self.encode(text[first:last])
                 + self.ids_of(self.path(text, last, hi, (last, ""), leave)))
 
+    def decode_all(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """The texts: bytes joined where they stand, special pieces left out, the dummy space taken off."""
+        if self._spelled is None:
+            spelled = [bytes([int(t[3:5], 16)]) if k == 6 else " ⁇ ".encode() if k == 2 else b"" if k == 3 else t.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+                       for t, k in zip(self.texts, self.kinds, strict=True)]
+            self._spelled = np.frombuffer(b"".join(spelled), np.uint8), np.r_[0, np.cumsum([len(x) for x in spelled])]
+        data, at = self._spelled
+        size = at[ids + 1] - at[ids]
+        total = np.r_[0, np.cumsum(size)]
+        raw = data[np.repeat(at[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        out = []
+        for b, e in zip(total[first[:-1]].tolist(), total[first[1:]].tolist(), strict=True):
+            skip = self.dummy_prefix and raw[b:b + 1] == b" " and e > b
+            out.append(raw[b + skip:e].decode("utf-8", "replace"))
+        return out
+
     def decode(self, ids: list[int]) -> str:
-        """The text: bytes joined where they stand, special pieces left out, the dummy space taken off."""
-        parts: list[bytes | str] = []
-        kinds, texts = self.kinds, self.texts
-        held = bytearray()
-        for i in ids:
-            kind = kinds[i]
-            if kind == 6:
-                held.append(int(texts[i][3:5], 16))
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if kind == 2:
-                parts.append(" ⁇ ")
-            elif kind != 3:
-                parts.append(texts[i])
-        if held:
-            parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts).replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _bounds(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    end = np.cumsum(np.array(lengths, np.int64))
+    return end - lengths, end
+
+
+def hashed_ranges(chars: np.ndarray):
+    """A function that gives the hashes of ranges of these characters."""
+    sums = prefix_sums(chars.astype(np.uint64) + np.uint64(1), BASE)
+    back = powers(inverse(BASE), len(chars) + 1)
+
+    def hashed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+
+    return hashed
 
 
 def product(left: dict, right: dict) -> dict:
@@ -335,45 +507,55 @@ def boundary_states(matrices: list[dict], entry, leave) -> list:
 
 
 def _send(df: DataFrame, model: Model):
-    return df.sparkSession.sparkContext.broadcast(pickle.dumps((list(zip(model.texts, [model.scores.get(t, 0.0) for t in model.texts], model.kinds, strict=True)), model.bpe, model.dummy_prefix)))
+    return df.sparkSession.sparkContext.broadcast(pickle.dumps((model.listed, model.bpe, model.dummy_prefix)))
+
 
+def _received(sent) -> Model:
+    """The model of a worker process: with what it remembers it outlives the task, as functions that travel do not."""
+    held = sys.__dict__.setdefault("_certflume_pieces", {})
+    key = hash(sent.value)
+    if key not in held:
+        held.clear()
+        held[key] = Model(*pickle.loads(sent.value))
+    return held[key]
 
-def _received(sent, memo: dict = {}) -> Model:  # noqa: B006 - one model for all batches of a task
-    if sent.id not in memo:
-        memo.clear()
-        memo[sent.id] = Model(*pickle.loads(sent.value))
-    return memo[sent.id]
 
+def encode(docs: DataFrame, model: Model, text: str = "text", out: str = "ids", chunk: int = CHUNK_CHARS, keep: list[str] | None = None,
+           verify: str | None = None) -> DataFrame:
+    """Append the ids of each text, array<int>. A column of that name is replaced.
 
-def encode(docs: DataFrame, model: Model, text: str = "text", out: str = "ids", chunk: int = CHUNK_CHARS, keep: list[str] | None = None) -> DataFrame:
-    """Append the ids of each text, array<int>. A column of that name is replaced."""
-    sent = _Sent(_send(docs, model))
+    `verify` names a further column: whether the ids, decoded, give the text again (with
+    ▁ read as the space that it stands for; null for a null text). Decoding then takes place
+    in the step that encodes, not in a second Python process.
+    """
+    sent = _send(docs, model)
     chunk = max(chunk, 4 * model.longest)
     own = docs if keep is None else docs.select(*[quoted(c) for c in keep if c.lower() != text.lower()], quoted(text))
-    own = without(own, [out])
+    own = without(own, [out, *([verify] if verify else [])])
     long = F.length(F.col(quoted(text)).cast("string")) > chunk
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         m = _received(sent)
-        return [pa.array([None if t is None else m.encode(m.escaped(t)) for t in batch.column("__text").to_pylist()], pa.list_(pa.int32()))]
+        column = batch.column("__text")
+        texts = column.to_pylist()
+        ids, first = m.encode_all([m.escaped(t or "") for t in texts])
+        offsets = pa.array(first.astype(np.int32), mask=np.r_[column.is_null().to_numpy(zero_copy_only=False), False]) if column.null_count else pa.array(first.astype(np.int32))
+        made = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+        if verify:
+            back = m.decode_all(ids, first)
+            made.append(pa.array([None if t is None else t.replace(SPACE, " ") == b for t, b in zip(texts, back, strict=True)], pa.bool_()))
+        return made
 
     columns = [c for c in own.columns if keep is None or c in keep]
-    short = extend(own.where(~F.coalesce(long, F.lit(False))), text, make, struct(f"{quoted(out)} array<int>"), keep=columns)
-    return short.unionByName(_giants(own.where(long), sent, text, out, chunk, columns))
-
-
-class _Sent:
-    """A broadcast with an id that is kept when it travels."""
-
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else 0
-
-    @property
-    def value(self):
-        return self.broadcast.value
+    short = extend(own.where(~F.coalesce(long, F.lit(False))), text, make, struct(f"{quoted(out)} array<int>" + (f", {quoted(verify)} boolean" if verify else "")), size=BATCH_BYTES, keep=columns)
+    giants = _giants(own.where(long), sent, text, out, chunk, columns, with_text=bool(verify))
+    if verify:
+        decoded = decode(giants, model, out, "__back")
+        giants = decoded.select(*[quoted(c) for c in [*columns, out]], (F.translate("__given", SPACE, " ") == F.col("__back")).alias(verify))
+    return short.unionByName(giants)
 
 
-def _giants(docs: DataFrame, sent: _Sent, text: str, out: str, chunk: int, columns: list[str]) -> DataFrame:
+def _giants(docs: DataFrame, sent, text: str, out: str, chunk: int, columns: list[str], with_text: bool = False) -> DataFrame:
     rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,12 +621,13 @@ def _giants(docs: DataFrame, sent: _Sent, text: str, out: str, chunk: int, colum
     traced = chunks.join(ends, ["row", "k"]).select("row", "k", "piece", "lo", "hi", "ends").mapInArrow(traces, "row bigint, k int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("__ids"))
     both = rows.join(whole, rows["__row"] == whole["row"], "left")
-    return both.select(*[quoted(c) for c in columns], F.col("__ids").alias(out))
+    return both.select(*[quoted(c) for c in columns], F.col("__ids").alias(out), *([F.col(quoted(text)).cast("string").alias("__given")] if with_text else []))
 
 
 def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Append the text of each row's ids. A column of that name is replaced."""
-    sent = _Sent(_send(df, model))
+    sent = _send(df, model)
+    small_batches(df.sparkSession)
     own = without(df, [out])
     schema = StructType([*own.schema.fields, *struct(f"{quoted(out)} string").fields])
     names = schema.names
@@ -452,9 +635,12 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(sent)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = pa.array([None if i is None else m.decode(i) for i in part.column(ids).to_pylist()], pa.string())
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                lists = part.column(ids)
+                size = lists.value_lengths().fill_null(0).to_numpy()
+                texts = m.decode_all(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(size)])
+                made = pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=names)
 
     return own.mapInArrow(run, schema)

@@ -56,9 +56,9 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add `token_ids` of each text and whether decoding them gives the text back."""
     model = pieces.Model.load(PIECES)
-    coded = pieces.decode(pieces.encode(_packed(docs), model, out="token_ids"), model, ids="token_ids")
-    back = F.col("decoded").eqNullSafe(F.translate("text", pieces.SPACE, " "))
-    return coded.select(*[F.col("__doc")[c].alias(c) for c in docs.columns if c not in ("token_ids", "round_trip")], "token_ids", back.alias("round_trip"))
+    coded = pieces.encode(_packed(docs), model, out="token_ids", keep=["__doc"], verify="round_trip")
+    own = [F.col("__doc")[c].alias(c) for c in docs.columns if c not in ("token_ids", "round_trip")]
+    return coded.select(*own, "token_ids", F.coalesce("round_trip", F.lit(True)).alias("round_trip"))
 
 
 STAGES = [("toxicity", clean), ("near-dedup", distinct), ("substring dedup", unrepeated), ("decontamination", uncontaminated), ("sentencepiece", tokenized)]
