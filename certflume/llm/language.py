@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import crc_mod, extend, quoted, saved, struct
+from .frames import crc_mod, extend, quoted, saved, small_batches, struct
 from .text import mix, slices
 
 ORDER = 4
@@ -246,6 +246,7 @@ class Languages:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS, rows: int = FIT_ROWS) -> Languages:
     """Learn from all rows with a language whose id is not held out (crc32 of it modulo 3 is 1)."""
+    small_batches(docs.sparkSession)
     may = docs.where((crc_mod(doc_id, 3) != 1) & F.col(quoted(lang)).isNotNull()).select(
         F.col(quoted(doc_id)).alias("__id"), F.col(quoted(text)).cast("string").alias("t"), F.col(quoted(lang)).cast("string").alias("lang"))
     counts = saved(gram_counts(may.where("t IS NOT NULL"), "t", "lang", order))
@@ -262,7 +263,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         names.append(name)
         models.append(kneser_ney(chars, part.column("n").to_numpy()))
     model = Languages(names, models, order, 10.0, np.full(len(names), np.inf))
-    return _calibrated(model, may.orderBy(F.xxhash64("__id"), "__id").limit(rows)) if names else model
+    # Only ids meet in one task to be ordered; their bounded list goes to the texts.
+    chosen = may.select("__id").where("__id IS NOT NULL").orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    return _calibrated(model, may.join(F.broadcast(chosen), "__id", "left_semi")) if names else model
 
 
 def _calibrated(model: Languages, sample: DataFrame) -> Languages:
