@@ -3,14 +3,16 @@
 All training rows are counted: each task counts the n-grams of its texts, Spark
 adds them up per language. From the counts of the highest order follow those of
 the lower ones (in how many ways a gram is continued to the left), discounts and
-back-off weights. A language's model is two sorted arrays of hashes: grams with
-their log probability, contexts with their log back-off. A text gets the language
+back-off weights, all by Spark. The log probability of a character is a sum over its
+grams and contexts of all lengths (see `terms`), so the table of their hashes
+and values is cut into blocks of about BLOCK_TERMS anywhere between two hashes, and
+a batch of texts adds up block by block. A text gets the language
 of the lowest cross-entropy per character; its score is the share of that
 language when cross-entropies become odds at a fitted temperature, and `accepted`
 says whether the cross-entropy is within what the language's own texts show.
 
-The table of grams is bounded by `max_grams`: if the counts hold more, a lower order is
-used, which is derived from the same counts. Letters are lower-cased; anything else is one space.
+The order is the same whatever the size of the input: the number of blocks grows, and the driver
+and a worker hold a bounded number of them. Letters are lower-cased; anything else is one space.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows without
 language, or held out, teach nothing. Without any training row all is `und`.
@@ -19,18 +21,19 @@ language, or held out, teach nothing. Without any training row all is `und`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .frames import crc_mod, extend, quoted, saved, small_batches, struct
 from .text import mix, slices
 
 ORDER = 4
-#: Grams of all languages together that a model may have; it is broadcast.
-MAX_GRAMS = 4_000_000
+#: Terms in one block of the models, and blocks that a worker keeps between batches.
+BLOCK_TERMS, KEPT_BLOCKS = 1_000_000, 3
 #: Texts that temperature and acceptance are fitted on, at most.
 FIT_ROWS = 20_000
 UNKNOWN = "und"
@@ -79,6 +82,11 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def context_hash(h: np.ndarray) -> np.ndarray:
+    """Hash of what is seen as a context, from its hash as a gram."""
+    return mix(h ^ np.uint64(0xA0761D6478BD642F))
+
+
 # ---- counts
 
 
@@ -123,7 +131,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str, order: int) -> DataFrame:
     return rows.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-# ---- models
+# ---- models of one language, in memory: the plain version that the blocks are checked against
 
 
 @dataclass
@@ -206,10 +214,105 @@ def kneser_ney(rows: np.ndarray, n: np.ndarray) -> Characters:
     return lower
 
 
+# ---- models as blocks
+
+
+def terms(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """From the counts of the highest order: (lang, g, is_context, value) and (lang, unseen).
+
+    The log probability of a character is `unseen`, and for each length the value of the context
+    before it (the log of its back-off weight) and of the gram that it ends (by how much its log
+    probability exceeds that of back-off and shorter gram); what was never seen adds 0.
+    """
+    levels = [counts.select("lang", "g", F.col("n").cast("double").alias("c"))]
+    for k in range(order - 1, 0, -1):
+        levels.append(saved(levels[-1].groupBy("lang", F.substring("g", 2, k).alias("g")).agg(F.count(F.lit(1)).cast("double").alias("c"))))
+    found, lower, unseen = [], None, None
+    for k, level in enumerate(reversed(levels), 1):
+        once, twice = F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+        d = F.when((once > 0) & (twice > 0), F.greatest(F.least(once / (once + 2 * twice), F.lit(0.9)), F.lit(0.1))).otherwise(0.5)
+        # One row per language.
+        stats = F.broadcast(level.groupBy("lang").agg(d.alias("d"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("total")))
+        left = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total")
+        if k == 1:
+            # No context: what the discount frees is spread evenly over the letters and one that was never seen.
+            spread = F.col("d") * F.col("kinds") / F.col("total") / (F.col("kinds") + 1)
+            unseen = stats.select("lang", F.log(spread).alias("unseen"))
+            made = level.join(stats, "lang").select("lang", "g", (left + spread).alias("p"), spread.alias("base"))
+        else:
+            cut = level.withColumn("h", F.substring("g", 1, k - 1)).withColumn("s", F.substring("g", 2, k - 1))
+            contexts = cut.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n"))
+            contexts = saved(contexts.join(stats.select("lang", "d"), "lang").select("lang", "h", "total", "d", (F.col("d") * F.col("n") / F.col("total")).alias("back")))
+            found.append(contexts.select("lang", F.col("h").alias("g"), F.lit(True).alias("is_context"), F.log("back").alias("value")))
+            base = F.col("back") * F.col("below")
+            below = lower.select("lang", F.col("g").alias("s"), F.col("p").alias("below"))
+            made = cut.join(contexts, ["lang", "h"]).join(below, ["lang", "s"]).select("lang", "g", (left + base).alias("p"), base.alias("base"))
+        lower = saved(made)
+        found.append(lower.select("lang", "g", F.lit(False).alias("is_context"), F.log(F.col("p") / F.col("base")).alias("value")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every, unseen
+
+
+@dataclass
+class Block:
+    """Sorted hashes; of hash i: languages and values from start[i] to start[i + 1]."""
+
+    key: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the wanted hashes that are known: their place, and a language and value."""
+        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
+        place = np.flatnonzero(self.key[at] == wanted)
+        n = self.start[at[place] + 1] - self.start[at[place]]
+        pick = np.repeat(self.start[at[place]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.repeat(place, n), self.lang[pick], self.value[pick]
+
+
+def blocks(found: DataFrame, names: list[str], each: int = BLOCK_TERMS) -> list[Broadcast]:
+    """The terms in blocks by their hash; one after the other passes through the driver."""
+    spark = found.sparkSession
+    many = -(-found.count() // each)
+    number = {x: i for i, x in enumerate(names)}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = np.array(batch.column("g").to_pylist(), object)
+            size = np.array([len(g) for g in grams], np.int64)
+            key = np.zeros(len(grams), np.uint64)
+            for k in np.unique(size).tolist():
+                at = np.flatnonzero(size == k)
+                chars = np.array(grams[at].tolist(), f"<U{k}").view(np.uint32).reshape(len(at), k)
+                key[at] = gram_hash([chars[:, i] for i in range(k)])
+            context = batch.column("is_context").to_numpy(zero_copy_only=False)
+            key = np.where(context, context_hash(key), key)
+            langs = pa.array([number[x] for x in batch.column("lang").to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(many)).astype(np.int32)), pa.array(key.view(np.int64)), langs, batch.column("value")], ["block", "key", "lang", "value"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy().view(np.uint64)
+        lang, order = table.column("lang").to_numpy(), np.lexsort((table.column("lang").to_numpy(), key))
+        parts = [key[order].tobytes(), lang[order].tobytes(), table.column("value").to_numpy()[order].tobytes()]
+        return pa.table({"block": table.column("block")[:1], **{c: pa.array([x], pa.binary()) for c, x in zip("klv", parts, strict=True)}})
+
+    rows = saved(found.mapInArrow(hashed, "block int, key bigint, lang int, value double").groupBy("block").applyInArrow(packed, "block int, k binary, l binary, v binary"))
+    sent = []
+    for b in range(many):
+        for row in rows.where(F.col("block") == b).collect():
+            key, start = np.unique(np.frombuffer(row.k, np.uint64), return_index=True)
+            sent.append(spark.sparkContext.broadcast(Block(key, np.r_[start, len(row.k) // 8], np.frombuffer(row.l, np.int32), np.frombuffer(row.v, np.float64))))
+    return sent
+
+
 @dataclass
 class Languages:
     names: list[str]
-    models: list[Characters]
+    unseen: np.ndarray
+    blocks: list[Broadcast]
     order: int
     temperature: float
     limit: np.ndarray
@@ -224,13 +327,28 @@ class Languages:
         columns = [flat[at - self.order + 1 + k] for k in range(self.order)]
         key = gram_hash(columns) if len(at) else np.zeros(0, np.uint64)
         _, one, back = np.unique(key, return_index=True, return_inverse=True)
-        bounds = np.searchsorted(at, first)
-        length = np.maximum(np.diff(bounds), 1)
-        out = np.empty((len(first) - 1, len(self.models)))
-        for j, m in enumerate(self.models):
-            logs = m.log_probability([c[one] for c in columns])[back] if len(one) else np.zeros(0)
-            sums = np.concatenate([[0.0], np.cumsum(logs)])
-            out[:, j] = -(sums[bounds[1:]] - sums[bounds[:-1]]) / length
+        columns = [c[one] for c in columns]
+        # Of each gram: the grams that end it, of all lengths, and the contexts before its last character.
+        wanted = [gram_hash(columns[k:]) for k in range(self.order)] + [context_hash(gram_hash(columns[k:-1])) for k in range(self.order - 1)]
+        wanted, which = np.unique(np.concatenate(wanted), return_inverse=True) if len(one) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        hits = []
+        for i, sent in enumerate(self.blocks if len(one) else []):
+            hits.append(sent.value.find(wanted))
+            if i >= KEPT_BLOCKS:
+                # The worker would keep it; it is read again from the executor's disk.
+                sent.__dict__.pop("_value", None)
+        place, lang, value = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
+        sort = np.argsort(lang, kind="stable")
+        place, value, bounds = place[sort], value[sort], np.searchsorted(lang[sort], np.arange(len(self.names) + 1))
+        texts = len(first) - 1
+        doc = np.searchsorted(first, at, side="right") - 1
+        length = np.bincount(doc, minlength=texts)
+        out = np.empty((texts, len(self.names)))
+        for j in range(len(self.names)):
+            own = np.zeros(len(wanted))
+            own[place[bounds[j]:bounds[j + 1]]] = value[bounds[j]:bounds[j + 1]]
+            logs = own[which].reshape(-1, len(one)).sum(0)[back] if len(one) else np.zeros(0)
+            out[:, j] = -(np.bincount(doc, logs, texts) + self.unseen[j] * length) / np.maximum(length, 1)
         has = np.concatenate([[0], np.cumsum(flat != SPACE)])
         return out, (has[first[1:]] - has[first[:-1]]) > 0
 
@@ -244,25 +362,15 @@ class Languages:
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0), letter & (lowest <= self.limit[best])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS, rows: int = FIT_ROWS) -> Languages:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, rows: int = FIT_ROWS, block_terms: int = BLOCK_TERMS) -> Languages:
     """Learn from all rows with a language whose id is not held out (crc32 of it modulo 3 is 1)."""
     small_batches(docs.sparkSession)
     may = docs.where((crc_mod(doc_id, 3) != 1) & F.col(quoted(lang)).isNotNull()).select(
         F.col(quoted(doc_id)).alias("__id"), F.col(quoted(text)).cast("string").alias("t"), F.col(quoted(lang)).cast("string").alias("lang"))
-    counts = saved(gram_counts(may.where("t IS NOT NULL"), "t", "lang", order))
-    while order > 1 and counts.count() > max_grams:
-        # A gram of the lower order is the end of one of the higher.
-        order -= 1
-        counts = counts.groupBy("lang", F.substring("g", 2, order).alias("g")).agg(F.sum("n").alias("n"))
-    found = counts.orderBy("lang", "g").toArrow()
-    names, models = [], []
-    langs = np.array(found.column("lang").to_pylist(), object)
-    for name in sorted(set(langs.tolist())):
-        part = found.filter(pa.array(langs == name))
-        chars = np.array(part.column("g").to_pylist(), f"<U{order}").view(np.uint32).reshape(part.num_rows, order)
-        names.append(name)
-        models.append(kneser_ney(chars, part.column("n").to_numpy()))
-    model = Languages(names, models, order, 10.0, np.full(len(names), np.inf))
+    found, unseen = terms(saved(gram_counts(may.where("t IS NOT NULL"), "t", "lang", order)), order)
+    least = sorted(tuple(r) for r in unseen.collect())
+    names = [r[0] for r in least]
+    model = Languages(names, np.array([r[1] for r in least]), blocks(found, names, block_terms), order, 10.0, np.full(len(names), np.inf))
     # Only ids meet in one task to be ordered; their bounded list goes to the texts.
     chosen = may.select("__id").where("__id IS NOT NULL").orderBy(F.xxhash64("__id"), "__id").limit(rows)
     return _calibrated(model, may.join(F.broadcast(chosen), "__id", "left_semi")) if names else model
@@ -270,10 +378,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def _calibrated(model: Languages, sample: DataFrame) -> Languages:
     """Temperature by likelihood of the own language; limits three deviations above a language's mean cross-entropy."""
-    sent = sample.sparkSession.sparkContext.broadcast(model)
-
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        h, letter = sent.value.entropies(batch.column("__text"))
+        h, letter = model.entropies(batch.column("__text"))
         return [pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(letter)]
 
     found = extend(sample, "t", make, struct("h array<double>, letter boolean"), keep=["lang"]).where("letter").toArrow()
@@ -288,15 +394,13 @@ def _calibrated(model: Languages, sample: DataFrame) -> Languages:
         if fit > best:
             best, chosen = fit, float(t)
     limit = np.array([h[own == j, j].mean() + 3 * h[own == j, j].std() + 0.05 if (own == j).any() else np.inf for j in range(len(model.names))])
-    return Languages(model.names, model.models, model.order, chosen, limit)
+    return replace(model, temperature=chosen, limit=limit)
 
 
 def predict(docs: DataFrame, model: Languages, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append lang_pred, score (0 to 1) and accepted. Columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        names, score, accepted = sent.value.predict(batch.column("__text"))
+        names, score, accepted = model.predict(batch.column("__text"))
         return [pa.array(names, pa.string()), pa.array(score), pa.array(accepted)]
 
     return extend(docs, text, make, struct("lang_pred string, score double, accepted boolean"), keep=keep)

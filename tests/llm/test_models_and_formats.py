@@ -92,6 +92,31 @@ def test_language_counts_are_exact(spark):
     assert got == {("x", " a"): 3, ("x", "ab"): 3, ("x", "b "): 3, ("y", " a"): 1, ("y", "ab"): 1, ("y", "b "): 1}
 
 
+def test_language_blocks_keep_the_order(spark):
+    """Many small blocks and many grams: the same cross-entropies as models of the full order in memory."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    alphabet = [chr(0x4E00 + i) for i in range(300)] + list("abcdefgh ")
+    rows = [(i, "".join(rng.choice(alphabet[j::3]) for _ in range(200)), "xyz"[j]) for i in range(120) for j in (i % 3,)]
+    docs = spark.createDataFrame([*rows, (500, None, "x"), (501, "?!", "w")], "doc_id bigint, text string, lang string")
+    trained = language.train(docs, block_terms=3000)
+    assert trained.order == language.ORDER and len(trained.blocks) > language.KEPT_BLOCKS
+    counts = language.gram_counts(docs.where("crc32(cast(doc_id as string)) % 3 <> 1 AND text IS NOT NULL"), "text", "lang", language.ORDER).collect()
+    texts = pa.array([t for _, t, _ in rows[:30]] + ["", None, "never 𠀀 seen"])
+    h, letter = trained.entropies(texts)
+    assert letter.tolist() == [True] * 30 + [False, False, True]
+    flat, first = language.codes(texts, language.ORDER)
+    for j, name in enumerate(trained.names):
+        own = [(r.g, r.n) for r in counts if r.lang == name]
+        chars = np.array([g for g, _ in own], f"<U{language.ORDER}").view(np.uint32).reshape(len(own), language.ORDER)
+        plain = language.kneser_ney(chars, np.array([n for _, n in own]))
+        for d in range(len(texts)):
+            at = np.arange(first[d] + language.ORDER - 1, first[d + 1])
+            logs = plain.log_probability([flat[at - language.ORDER + 1 + k] for k in range(language.ORDER)])
+            assert abs(h[d, j] + logs.sum() / max(len(at), 1)) < 1e-9
+
+
 # ---- SentencePiece
 
 
