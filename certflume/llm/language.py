@@ -9,7 +9,7 @@ and values is cut into blocks of about BLOCK_TERMS anywhere between two hashes,
 a batch of texts adds up block by block. A text gets the language
 of the lowest cross-entropy per character; its score is the share of that
 language when cross-entropies become odds at a fitted temperature, and `accepted`
-says whether the cross-entropy is within what the language's own texts show.
+says whether the cross-entropy is within what all of the language's own training texts show.
 
 The order is the same whatever the size of the input: the number of blocks grows, and the driver
 and a worker hold a bounded number of them. Letters are lower-cased; anything else is one space.
@@ -34,8 +34,8 @@ from .text import mix, slices
 ORDER = 4
 #: Terms in one block of the models, and blocks that a worker keeps between batches.
 BLOCK_TERMS, KEPT_BLOCKS = 1_000_000, 3
-#: Texts that temperature and acceptance are fitted on, at most.
-FIT_ROWS = 20_000
+#: Among these the temperature is chosen.
+TEMPERATURES = (1, 2, 4, 8, 16, 32, 64, 128)
 UNKNOWN = "und"
 SPACE = 0x20
 
@@ -362,7 +362,7 @@ class Languages:
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0), letter & (lowest <= self.limit[best])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, rows: int = FIT_ROWS, block_terms: int = BLOCK_TERMS) -> Languages:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, block_terms: int = BLOCK_TERMS) -> Languages:
     """Learn from all rows with a language whose id is not held out (crc32 of it modulo 3 is 1)."""
     small_batches(docs.sparkSession)
     may = docs.where((crc_mod(doc_id, 3) != 1) & F.col(quoted(lang)).isNotNull()).select(
@@ -371,30 +371,32 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     least = sorted(tuple(r) for r in unseen.collect())
     names = [r[0] for r in least]
     model = Languages(names, np.array([r[1] for r in least]), blocks(found, names, block_terms), order, 10.0, np.full(len(names), np.inf))
-    # Only ids meet in one task to be ordered; their bounded list goes to the texts.
-    chosen = may.select("__id").where("__id IS NOT NULL").orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    return _calibrated(model, may.join(F.broadcast(chosen), "__id", "left_semi")) if names else model
+    return _calibrated(model, may) if names else model
 
 
-def _calibrated(model: Languages, sample: DataFrame) -> Languages:
-    """Temperature by likelihood of the own language; limits three deviations above a language's mean cross-entropy."""
+def _calibrated(model: Languages, rows: DataFrame) -> Languages:
+    """Over all rows: temperature by likelihood of the own language; limits three deviations above a language's mean cross-entropy.
+
+    A language none of whose rows has a letter shows nothing, and no text is accepted as of it.
+    """
+    number = {x: i for i, x in enumerate(model.names)}
+
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         h, letter = model.entropies(batch.column("__text"))
-        return [pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(letter)]
-
-    found = extend(sample, "t", make, struct("h array<double>, letter boolean"), keep=["lang"]).where("letter").toArrow()
-    if not found.num_rows:
-        return model
-    h = np.array(found.column("h").to_pylist())
-    own = np.array([model.names.index(x) for x in found.column("lang").to_pylist()])
-    best, chosen = -np.inf, model.temperature
-    for t in (1, 2, 4, 8, 16, 32, 64, 128):
-        z = -t * (h - h.min(1, keepdims=True))
-        fit = (z[np.arange(len(h)), own] - np.log(np.exp(np.maximum(z, -700)).sum(1))).mean()
-        if fit > best:
-            best, chosen = fit, float(t)
-    limit = np.array([h[own == j, j].mean() + 3 * h[own == j, j].std() + 0.05 if (own == j).any() else np.inf for j in range(len(model.names))])
-    return replace(model, temperature=chosen, limit=limit)
+        # A language with null texts only has no model, and its rows no letter.
+        own = (np.arange(len(h)), np.array([number.get(x, 0) for x in batch.column("lang").to_pylist()], np.int64))
+        above = h.min(1, keepdims=True) - h
+        fits = [t * above[own] - np.log(np.exp(np.maximum(t * above, -700)).sum(1)) for t in TEMPERATURES]
+        return [pa.array(h[own]), pa.array(letter), *[pa.array(f) for f in fits]]
+
+    fits = [f"fit{t}" for t in TEMPERATURES]
+    found = extend(rows, "t", make, struct(", ".join(["h double, letter boolean", *[f"{f} double" for f in fits]])), keep=["lang"]).where("letter")
+    shown = found.groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("deviation"), *[F.sum(f).alias(f) for f in fits]).collect()
+    limit = np.full(len(model.names), -np.inf)
+    for r in shown:
+        limit[number[r.lang]] = r["mean"] + 3 * r.deviation + 0.05
+    best = max(range(len(fits)), key=lambda i: sum(r[fits[i]] for r in shown))
+    return replace(model, temperature=float(TEMPERATURES[best]), limit=limit)
 
 
 def predict(docs: DataFrame, model: Languages, text: str = "text", keep: list[str] | None = None) -> DataFrame:

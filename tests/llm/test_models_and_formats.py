@@ -117,6 +117,18 @@ def test_language_blocks_keep_the_order(spark):
             assert abs(h[d, j] + logs.sum() / max(len(at), 1)) < 1e-9
 
 
+def test_language_limits_of_rare_languages(spark):
+    """One language in 60,000 rows, another in few: both get limits from their own texts, and foreign letters are not accepted."""
+    hot = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(100_000 + i, f"der Hund und die Katze {'so' * (i % 4)}", "de") for i in range(9)] + [(200_000 + i, "?!", "xx") for i in range(5)], "doc_id bigint, text string, lang string")
+    trained = language.train(hot.unionByName(rare))
+    limit = dict(zip(trained.names, trained.limit, strict=True))
+    assert np.isfinite(limit["de"]) and np.isfinite(limit["en"]) and limit["xx"] == -np.inf
+    asked = spark.createDataFrame([("der Hund und die Katze",), ("der qqqqqqqq wwwwwwww vvvvvvvvvv",)], "text string")
+    known, foreign = language.predict(asked, trained).collect()
+    assert (known.lang_pred, known.accepted) == ("de", True) and not foreign.accepted
+
+
 # ---- SentencePiece
 
 
