@@ -7,13 +7,16 @@ hold them, by their minimizer (the least hash of the `gram`-word grams inside),
 which equal windows share.
 
 1. Every document gives its minimizers. Per hash, task by task first, it is
-   found out which occur in two documents or more; the others are done with.
+   found out which occur in two documents or more; the others are done with. Also,
+   which are hot: their passages would not fit one automaton.
 2. Around a shared minimizer the words of all windows that have it are one
    passage. Passages go to the shard of the hash, equal ones of a group of documents once.
+   Around a hot minimizer each window goes by itself to the shard of its own hash (two
+   hashes of 64 bits stand for its words), so only equal windows meet, those of a group as one.
 3. A shard's passages become suffix automata whose states know the smallest id that
    holds them. Each passage is streamed through the automaton of its shard; where the match
    is `window` words long, the state (by suffix links, the one of that length) tells whose
-   the words were first.
+   the words were first. Of a hot minimizer's windows the smallest id is taken directly.
 4. The maximal spans return to their documents and are merged.
 
 No list of a hot passage's documents exists anywhere: what a task sends for a
@@ -42,6 +45,11 @@ WINDOW, GRAM = 13, 5
 LAST = (1 << 63) - 1
 #: Text bytes in a group of documents, minimizers in a message of a task, words in one automaton.
 GROUP_BYTES, TASK_HASHES, SHARD_WORDS = 16 << 20, 400_000, 40_000
+#: Counts of minimizers end here; of the second hash of a hot minimizer's windows.
+MOST, CHECK_BASE = (1 << 16) - 1, 0xD6E8FEB86659FD93
+#: Windows of hot minimizers, and what is answered of a passage or window.
+WINDOWS = np.dtype([("key", np.uint64), ("check", np.uint64), ("low", np.int64), ("high", np.int64)])
+RUNS = np.dtype([("key", np.uint64), ("holder", np.int64), ("from", np.uint16), ("to", np.uint16)])
 
 
 # ---- passages of a batch
@@ -77,10 +85,10 @@ def passages(w: Words, word_hash: np.ndarray, window: int, gram: int) -> Passage
 
 
 def _minimizers(rows: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
-    """Per task and shard: distinct (hash, group of documents) with the least and largest id."""
+    """Per task and shard: distinct (hash, group of documents) with the least and largest id, and how often (MOST at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("hash", np.uint64), ("p", np.int32), ("low", np.int64), ("high", np.int64)])
+        kind = np.dtype([("hash", np.uint64), ("p", np.int32), ("low", np.int64), ("high", np.int64), ("n", np.uint16)])
         held: list[np.ndarray] = []
         size = 0
 
@@ -91,6 +99,7 @@ def _minimizers(rows: DataFrame, shards: int, window: int, gram: int) -> DataFra
             out = a[begin]
             if len(a):
                 out["low"], out["high"] = np.minimum.reduceat(a["low"], begin), np.maximum.reduceat(a["high"], begin)
+                out["n"] = np.minimum(np.add.reduceat(a["n"].astype(np.int64), begin), MOST)
             return out
 
         def send(a: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -100,8 +109,8 @@ def _minimizers(rows: DataFrame, shards: int, window: int, gram: int) -> DataFra
             for b in range(shards):
                 part = a[bounds[b]:bounds[b + 1]]
                 if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([part[c].tobytes()], pa.binary()) for c in ("hash", "p", "low", "high")]],
-                                                     ["b", "hash", "p", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([part[c].tobytes()], pa.binary()) for c in ("hash", "p", "low", "high", "n")]],
+                                                     ["b", "hash", "p", "low", "high", "n"])
 
         for batch in slices(batches, "t", 1_000_000):
             w = words(batch.column("t"), SPACED, False)
@@ -109,6 +118,7 @@ def _minimizers(rows: DataFrame, shards: int, window: int, gram: int) -> DataFra
             part = np.zeros(len(found.hash), kind)
             part["hash"], part["p"] = found.hash, batch.column("p").to_numpy()[found.doc]
             part["low"] = part["high"] = batch.column("id").to_numpy()[found.doc]
+            part["n"] = 1
             held.append(part)
             size += len(part)
             if size > TASK_HASHES:
@@ -120,7 +130,7 @@ def _minimizers(rows: DataFrame, shards: int, window: int, gram: int) -> DataFra
         if held:
             yield from send(merged())
 
-    return rows.mapInArrow(run, "b int, hash binary, p binary, low binary, high binary")
+    return rows.mapInArrow(run, "b int, hash binary, p binary, low binary, high binary, n binary")
 
 
 def _column(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -129,40 +139,84 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
 
 def _by_group(p: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """The columns, cut by the values of p."""
+    if not len(p):
+        return
     order = np.argsort(p, kind="stable")
     p = p[order]
-    begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
+    begin = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
     for i, j in zip(begin, [*begin[1:], len(p)], strict=True):
         yield (int(p[i]), *[c[order[i:j]] for c in columns])
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of a shard's minimizers those with two ids, for each group of documents that has them."""
-    h, p = _column(table, "hash", np.uint64), _column(table, "p", np.int32)
-    low, high = _column(table, "low", np.int64), _column(table, "high", np.int64)
-    value, at = np.unique(h, return_inverse=True)
-    least, most = np.full(len(value), LAST), np.full(len(value), -LAST - 1)
-    np.minimum.at(least, at, low)
-    np.maximum.at(most, at, high)
-    keep = (least < most)[at]
-    rows = [(k, hashes.tobytes()) for k, hashes in _by_group(p[keep], h[keep])]
-    return pa.table({"p": pa.array([r[0] for r in rows], pa.int32()), "hash": pa.array([r[1] for r in rows], pa.binary())})
+def _shared(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of a shard's minimizers those with two ids, for each group of documents that has them; `hot`: those that occur so often."""
+        h, p = _column(table, "hash", np.uint64), _column(table, "p", np.int32)
+        low, high = _column(table, "low", np.int64), _column(table, "high", np.int64)
+        value, at = np.unique(h, return_inverse=True)
+        least, most = np.full(len(value), LAST), np.full(len(value), -LAST - 1)
+        np.minimum.at(least, at, low)
+        np.maximum.at(most, at, high)
+        keep = (least < most)[at]
+        often = (np.bincount(at, _column(table, "n", np.uint16)) > hot)[at[keep]]
+        rows = [(k, hashes[~own].tobytes(), hashes[own].tobytes()) for k, hashes, own in _by_group(p[keep], h[keep], often)]
+        return pa.table({"p": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in ((1, "hash"), (2, "hot"))}})
+
+    return run
 
 
 # ---- step 2: passages of a group of documents
 
 
+def _known(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the values that are among the sorted ones."""
+    if not len(sorted_):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values)
+
+
+def _spread(w: Words, value: np.ndarray, found: Passages, which: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Each window of these passages by itself."""
+    n = found.end[which] - found.begin[which] - window + 1
+    start = np.repeat(found.begin[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    out = np.zeros(len(start), WINDOWS)
+    if len(start):
+        out["key"] = passage_hashes(value, start, start + window)
+        out["check"] = passage_hashes(w.hashes(CHECK_BASE), start, start + window)
+        out["low"] = out["high"] = ids[np.repeat(found.doc[which], n)]
+    return out
+
+
+def _sorted_windows(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows ordered by their words, and where each distinct one begins."""
+    a = a[np.lexsort((a["check"], a["key"]))]
+    return a, np.flatnonzero(np.r_[True, (a["key"][1:] != a["key"][:-1]) | (a["check"][1:] != a["check"][:-1])][:len(a)])
+
+
+def _merged_windows(parts: list[np.ndarray]) -> np.ndarray:
+    a, begin = _sorted_windows(np.concatenate(parts))
+    out = a[begin]
+    if len(a):
+        out["low"], out["high"] = np.minimum.reduceat(a["low"], begin), np.maximum.reduceat(a["high"], begin)
+    return out
+
+
 def _send_passages(shards: int, window: int, gram: int):
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        hashes = np.unique(_column(shared, "hash", np.uint64)) if shared.num_rows else np.zeros(0, np.uint64)
+        hashes, hot = (np.unique(_column(shared, c, np.uint64)) if shared.num_rows else np.zeros(0, np.uint64) for c in ("hash", "hot"))
+        windows, new = [np.zeros(0, WINDOWS)], 0
         group = docs.column("p")[0].as_py() if docs.num_rows else 0
         by_shard: dict[int, dict[bytes, list[int]]] = {}
-        for batch in slices(iter(docs.select(["id", "t"]).combine_chunks().to_batches()), "t") if len(hashes) and docs.num_rows else ():
+        for batch in slices(iter(docs.select(["id", "t"]).combine_chunks().to_batches()), "t") if (len(hashes) or len(hot)) and docs.num_rows else ():
             w = words(batch.column("t"), SPACED, False)
-            found = passages(w, w.hashes(), window, gram)
-            at = np.minimum(np.searchsorted(hashes, found.hash), len(hashes) - 1)
-            keep = np.flatnonzero(hashes[at] == found.hash)
+            value = w.hashes()
+            found = passages(w, value, window, gram)
+            keep = _known(hashes, found.hash)
             ids = batch.column("id").to_numpy()
+            windows.append(_spread(w, value, found, _known(hot, found.hash), ids, window))
+            new += len(windows[-1])
+            if new > TASK_HASHES:
+                windows, new = [_merged_windows(windows)], 0
             raw = w.bytes.tobytes()
             begin, end = w.start[found.begin[keep]].tolist(), w.end[found.end[keep] - 1].tolist()
             shard, doc = (found.hash[keep] % np.uint64(shards)).tolist(), ids[found.doc[keep]].tolist()
@@ -177,10 +231,12 @@ def _send_passages(shards: int, window: int, gram: int):
                     had[0] = d
                 elif d > had[1]:
                     had[1] = d
-        rows = [(b, group, b"\n".join(own), np.array([v[0] for v in own.values()], np.int64).tobytes(), np.array([v[1] for v in own.values()], np.int64).tobytes())
+        every = _merged_windows(windows)
+        rows = [(b, group, b"\n".join(own), np.array([v[0] for v in own.values()], np.int64).tobytes(), np.array([v[1] for v in own.values()], np.int64).tobytes(), b"")
                 for b, own in sorted(by_shard.items())]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["b", "p", "texts", "low", "high"])
+        rows += [(b, group, b"", b"", b"", part.tobytes()) for b, part in _by_group((every["key"] % np.uint64(shards)).astype(np.int32), every)]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["b", "p", "texts", "low", "high", "windows"])
 
     return run
 
@@ -265,7 +321,7 @@ class SuffixAutomaton:
 def _answer(window: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         """Per group of documents: hash of a passage, and the runs of its windows whose first holder is below the passage's largest id."""
-        texts = [t.split(b"\n") for t in table.column("texts").to_pylist()]
+        texts = [t.split(b"\n") if t else [] for t in table.column("texts").to_pylist()]
         group = np.repeat(np.array(table.column("p").to_pylist(), np.int32), [len(t) for t in texts])
         every = [t for part in texts for t in part]
         low, high = _column(table, "low", np.int64), _column(table, "high", np.int64)
@@ -307,9 +363,8 @@ def _answer(window: int, gram: int):
                         else:
                             run_.append((k, k + 1, holder))
             begin = stop
-        kind = np.dtype([("key", np.uint64), ("holder", np.int64), ("from", np.uint16), ("to", np.uint16)])
         many = np.array([len(f) for f in found], np.int64)
-        flat = np.zeros(int(many.sum()), kind)
+        flat = np.zeros(int(many.sum()), RUNS)
         if len(flat):
             flat["key"] = np.repeat(key, many)
             runs = np.array([x for f in found for x in f], np.int64)
@@ -323,11 +378,29 @@ def _answer(window: int, gram: int):
             part = part[part["holder"] < np.repeat(top, n)]
             if len(part):
                 rows.append((p, part.tobytes()))
+        rows += _answer_windows(table)
         return pa.table({"p": pa.array([r[0] for r in rows], pa.int32()), "runs": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
+def _answer_windows(table: pa.Table) -> list[tuple[int, bytes]]:
+    """Of the windows of hot minimizers, as runs of one window: for each group whose largest id is above the first holder."""
+    sent = table.column("windows").to_pylist()
+    group = np.repeat(np.array(table.column("p").to_pylist(), np.int32), [len(x) // WINDOWS.itemsize for x in sent])
+    a = np.frombuffer(b"".join(sent), WINDOWS)
+    order = np.lexsort((a["check"], a["key"]))
+    group = group[order]
+    a, begin = _sorted_windows(a)
+    if not len(a):
+        return []
+    least = np.repeat(np.minimum.reduceat(a["low"], begin), np.diff(np.r_[begin, len(a)]))
+    told = np.flatnonzero(least < a["high"])
+    out = np.zeros(len(told), RUNS)
+    out["key"], out["holder"], out["to"] = a["key"][told], least[told], 1
+    return [(p, part.tobytes()) for p, part in _by_group(group[told], out)]
+
+
 def _as_strings(listed: list[bytes]) -> pa.Array:
     """A string array of these bytes, valid UTF-8 or not."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in listed])]).astype(np.int64)
@@ -371,13 +444,32 @@ def removed(w: Words, ids: np.ndarray, runs: np.ndarray, window: int, gram: int)
     np.add.at(out, found.begin[which] + part["from"], 1)
     # Windows from..to - 1 cover the words up to to - 1 + window.
     np.add.at(out, found.begin[which] + part["to"].astype(np.int64) - 1 + window, -1)
+    # What is told of one window holds wherever its words stand.
+    single = runs[(runs["from"] == 0) & (runs["to"] == 1)]
+    start = within(w, window) if len(single) else np.zeros(0, np.int64)
+    if len(start):
+        key = passage_hashes(value, start, start + window)
+        at = np.minimum(np.searchsorted(single["key"], key), len(single) - 1)
+        doc = np.searchsorted(w.first, start, side="right") - 1
+        start = start[(single["key"][at] == key) & (single["holder"][at] < ids[doc])]
+        np.add.at(out, start, 1)
+        np.add.at(out, start + window, -1)
     return np.cumsum(out[:-1]) > 0
 
 
-def dedup(docs: DataFrame, finish, schema: str, carry: list[str], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _routed(rows: DataFrame, grouped: DataFrame, shards: int, window: int, gram: int, hot: int | None) -> DataFrame:
+    """What each group of documents sends to each shard; rows: p, id, t."""
+    hot = min(MOST - 1, SHARD_WORDS // (2 * window - gram) if hot is None else hot)
+    shared = _minimizers(rows.select("p", "id", "t"), shards, window, gram).groupBy("b").applyInArrow(_shared(hot), "p int, hash binary, hot binary")
+    return grouped.groupBy("p").cogroup(shared.groupBy("p")).applyInArrow(_send_passages(shards, window, gram), "b int, p int, texts binary, low binary, high binary, windows binary")
+
+
+def dedup(docs: DataFrame, finish, schema: str, carry: list[str], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM,
+          hot: int | None = None) -> DataFrame:
     """Find what goes from each document, and give what `finish(batch, words, removed)` makes of it.
 
     batch: the columns `carry`, then id and t; finish returns a RecordBatch of `schema`.
+    hot: minimizers that occur more often go window by window; by default if their passages may exceed SHARD_WORDS.
     """
     gram = min(gram, window)
     spark = docs.sparkSession
@@ -387,15 +479,11 @@ def dedup(docs: DataFrame, finish, schema: str, carry: list[str], doc_id: str =
     content = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     key = F.pmod(F.xxhash64(F.col(quoted(doc_id)).cast("long"), content), F.lit(groups)).cast("int")
     rows = docs.select(key.alias("p"), F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(LAST)).alias("id"), content.alias("t"), F.struct(*own).alias("carry") if own else F.lit(None).alias("carry"))
-    narrow = rows.select("p", "id", "t")
-    shared = _minimizers(narrow, groups, window, gram).groupBy("b").applyInArrow(_shared, "p int, hash binary")
     grouped = rows.repartition(groups, "p")
-    sent = grouped.groupBy("p").cogroup(shared.groupBy("p")).applyInArrow(_send_passages(groups, window, gram), "b int, p int, texts binary, low binary, high binary")
-    runs = sent.groupBy("b").applyInArrow(_answer(window, gram), "p int, runs binary")
-    kind = np.dtype([("key", np.uint64), ("holder", np.int64), ("from", np.uint16), ("to", np.uint16)])
+    runs = _routed(rows, grouped, groups, window, gram, hot).groupBy("b").applyInArrow(_answer(window, gram), "p int, runs binary")
 
     def last(table: pa.Table, answer: pa.Table) -> pa.Table:
-        found = np.sort(_column(answer, "runs", kind), order="key") if answer.num_rows else np.zeros(0, kind)
+        found = np.sort(_column(answer, "runs", RUNS), order="key") if answer.num_rows else np.zeros(0, RUNS)
         made = []
         if table.num_rows:
             for batch in slices(iter(table.combine_chunks().to_batches()), "t"):

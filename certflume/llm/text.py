@@ -90,10 +90,10 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        sums = prefix_sums(self.bytes.astype(np.uint64) + np.uint64(1), BASE)
+    def hashes(self, base: int = BASE) -> np.ndarray:
+        sums = prefix_sums(self.bytes.astype(np.uint64) + np.uint64(1), base)
         value = sums[self.end] - sums[self.start]
-        return mix(value * powers(inverse(BASE), len(self.bytes) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix(value * powers(inverse(base), len(self.bytes) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
 
     def text(self, i: int) -> bytes:
         return self.bytes[self.start[i]:self.end[i]].tobytes()

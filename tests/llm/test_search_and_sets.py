@@ -63,6 +63,41 @@ def test_substrings_against_brute_force(spark):
     assert got == brute.substrings(rows)
 
 
+def test_substrings_hot_minimizers_are_spread(spark):
+    """Thousands of documents share five words among their own: no shard gets them all, and the results stay right."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    phrases = [f"all rights {i} reserved {i}" for i in range(3000)]
+    w = substrings.words(pa.array(phrases), substrings.SPACED, False)
+    hot = phrases[int(np.argmin(substrings.window_hashes(w.hashes(), 5)[::5]))]
+    rows = [(i, " ".join([*(f"a{rng.randrange(10**6)}" for _ in range(12)), hot, *(f"b{rng.randrange(10**6)}" for _ in range(12))])) for i in range(3000)]
+    # Some windows around the hot words are equal, with several first holders.
+    for i in range(0, 3000, 7):
+        own, other = rows[i][1].split(), rows[rng.randrange(3000)][1].split()
+        cut = rng.randrange(8, 13)
+        rows[i] = (rng.choice([i, i, None]), " ".join([*own[:cut], *other[cut:cut + rng.randrange(6, 14)], *own[20:]]))
+    # The sets of words count, not the order of rows.
+    docs = texts(spark, rows).repartition(8)
+    assert sorted((tuple(r) for r in substrings.digests(docs).collect()), key=repr) == brute.substrings(rows)
+    p = F.pmod(F.xxhash64("doc_id", "text"), F.lit(8)).cast("int")
+    given = docs.select(p.alias("p"), F.coalesce("doc_id", F.lit(substrings.LAST)).alias("id"), F.col("text").alias("t"))
+    sent = substrings._routed(given, given.repartition(8, "p"), 8, 13, 5, None).select("b", (F.octet_length("texts") + F.octet_length("windows")).alias("n"))
+    sizes = [r.n for r in sent.groupBy("b").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8, sizes
+
+
+@pytest.mark.parametrize("hot", [0, 4])
+def test_substrings_window_by_window(spark, hot):
+    rng = random.Random(6)
+    base = [[rng.choice("abcdefgh") for _ in range(200)] for _ in range(4)]
+    rows = [(rng.choice([i, i, None]), " ".join(rng.choice(base)[rng.randrange(100):][:rng.randint(0, 120)])) for i in range(50)]
+    rows += [(5, None), rows[0], (90, "same word " * 2000), (91, " ".join(f"u{i}" for i in range(100)))]
+    assert sorted((tuple(r) for r in substrings.digests(texts(spark, rows), hot=hot).collect()), key=repr) == brute.substrings(rows)
+
+
 def test_substrings_keep_columns_and_cut_text(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(1, f"one {passage} end", 3), (2, f"two\t{passage}\nlast", 4), (3, None, 5), (3, None, 5)]
