@@ -206,15 +206,16 @@ def alert_text_match(q: str) -> Column:
     return F.contains(F.lower(text), F.lit(q.strip().lower()))
 
 
-def list_alerts(alerts: DataFrame, status: str = "all", severity: str = "all", q: str = "", limit: int = 200) -> DataFrame:
-    """The alert list, newest first; status is exact, severity is at least."""
+def list_alerts(alerts: DataFrame, status: str = "all", severity: str = "all", q: str = "", limit: int | None = None) -> DataFrame:
+    """The alert list, newest first (all without `limit`); status is exact, severity is at least."""
     if status != "all":
         alerts = alerts.filter(F.col("status") == status)
     if severity != "all":
         alerts = alerts.filter(at_least(F.col("severity"), severity))
     if q.strip():
         alerts = alerts.filter(alert_text_match(q))
-    return alerts.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    found = alerts.orderBy(F.col("created_at").desc(), F.col("id").desc())
+    return found if limit is None else found.limit(limit)
 
 
 # --- exports -----------------------------------------------------------------

@@ -146,7 +146,7 @@ def counts(spark, folder):
 WHERE severity <> 'low' AND status = 'new' AND contains(lower(domain || '  A, "B" ' || issuer), 'org 3')
 ORDER BY created_us DESC, id DESC LIMIT 200""")
 def listed(spark, folder):
-    rows = A.list_alerts(A.alert_state(_events(spark, folder)), "new", "medium", " ORG 3 ")
+    rows = A.list_alerts(A.alert_state(_events(spark, folder)), "new", "medium", " ORG 3 ", limit=200)
     return rows.select("id", F.unix_micros("created_at").alias("created_us"), "severity")
 
 

@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from certflume.functions.der import LeafError, cert_list, leaf_index, outline, seconds, tile_records
-from certflume.operators.alerts import alert_state
+from certflume.operators.alerts import alert_state, list_alerts
 from certflume.operators.certificates import resolve_chains
 from certflume.operators.logs import positions, start_positions
 from certflume.operators.search import search
@@ -29,6 +29,12 @@ def test_nothing_is_skipped_unless_asked(spark):
     assert tuple(start_positions(lagging, max_lag=1000).first()) == ("a", 900_000, 900_000, 899_999)
 
 
+def test_all_alerts_are_listed_unless_asked(spark):
+    alerts = spark.range(450).select(F.concat(F.lit("a_"), "id").alias("id"), F.timestamp_seconds("id").alias("created_at"), F.lit("new").alias("status"), F.lit("high").alias("severity"))
+    assert list_alerts(alerts).count() == 450
+    assert [r.id for r in list_alerts(alerts, "new", "medium", limit=2).collect()] == ["a_449", "a_448"]
+
+
 def test_equal_heads_stay_apart(spark):
     head = ("http://l/", "o", 5, b"x" * 32, [], [], None, "static")
     heads = spark.createDataFrame([head] * 3, "log_url string, origin string, tree_size bigint, root_hash binary, extensions array<string>, signatures array<struct<name:string,sig:binary>>, error string, kind string")
