@@ -103,6 +103,13 @@ class Quality:
         return sigmoid(self.slope * (s - self.cut) + np.log(CUT / (1 - CUT)))
 
 
+def pairs(few: np.ndarray, many: np.ndarray, partners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the few meets `partners` of the many or as many as let all take part, taken in turn: a bounded set of pairs, not their product."""
+    i = np.arange(len(few) * max(partners, -(-len(many) // len(few))))
+    # After the least common multiple of both lengths the same pairs would come again, so the many move on by one place.
+    return few[i % len(few)], many[(i + i // np.lcm(len(few), len(many))) % len(many)]
+
+
 def fit(x: np.ndarray, y: np.ndarray, partners: int = PARTNERS) -> Quality:
     """From features and labels in a fixed order."""
     mean, scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
@@ -110,11 +117,8 @@ def fit(x: np.ndarray, y: np.ndarray, partners: int = PARTNERS) -> Quality:
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Quality(mean, scale, np.zeros(x.shape[1]), 1.0, -2 * float(np.log((1 - CUT) / CUT)))
-    # Each row meets `partners` of the other label, taken in turn: a bounded set of pairs, not their product.
     few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
-    turns = max(1, -(-len(many) // len(few)))
-    left = np.concatenate([np.resize(few, len(few) * max(partners, turns))])
-    right = np.resize(many, len(left))
+    left, right = pairs(few, many, partners)
     better, worse = (right, left) if few is bad else (left, right)
     weights = logistic(z[better] - z[worse], np.ones(len(better)), np.full(len(better), 1.0), ridge=1.0, free_bias=False)[:-1]
     s = z @ weights

@@ -54,6 +54,15 @@ def test_scores_of_edge_rows(spark, module):
     assert module.score(docs.limit(0), module.train(docs.limit(0), labels)).count() == 0
 
 
+@pytest.mark.parametrize("few, many", [(10, 10), (10, 20), (10, 11), (6, 9), (8, 100), (3, 4)])
+def test_partners_of_a_text_differ(few, many):
+    left, right = quality.pairs(np.arange(few), np.arange(many), 8)
+    assert set(right.tolist()) == set(range(many))
+    for a in range(few):
+        own = right[left == a].tolist()
+        assert len(own) >= 8 and len(set(own)) == min(len(own), many)
+
+
 def test_label_model_finds_accuracies_and_discounts_copies():
     rng = np.random.default_rng(1)
     y = rng.random(20000) < 0.3
