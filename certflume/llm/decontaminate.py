@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import extend, quoted, struct, total_bytes
+from .frames import extend, quoted, shipped, struct, total_bytes
 from .text import ALNUM, Words, words
 
 SEPARATOR = 0
@@ -141,9 +142,9 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Windows of a block of items: symbols by row, and the items of each."""
+    """Windows of a block of items: symbols by row, and the items of each. `vocabulary`: the words, as bytes."""
 
-    vocabulary: np.ndarray
+    vocabulary: pa.Array
     patterns: np.ndarray
     length: np.ndarray
     first: np.ndarray
@@ -155,8 +156,8 @@ def phrases(rows: list[tuple[str | None, str | None]], window: int) -> Phrases:
     names = sorted({i for i, _ in rows if i is not None})
     place = {name: k for k, name in enumerate(names)}
     w = words(pa.array([t for _, t in rows], pa.large_string()), ALNUM, True)
-    vocabulary, symbol = np.unique(w.hashes(), return_inverse=True)
-    symbol = symbol + 1
+    coded = w.array().dictionary_encode()
+    vocabulary, symbol = coded.dictionary, coded.indices.to_numpy().astype(np.int64) + 1
     seen: dict[bytes, set[int]] = {}
     for d, (item, _) in enumerate(rows):
         own = symbol[w.first[d]:w.first[d + 1]]
@@ -183,9 +184,7 @@ def occurrences(w: Words, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(w) or not len(p.vocabulary):
         return nothing
-    value = w.hashes()
-    at = np.minimum(np.searchsorted(p.vocabulary, value), len(p.vocabulary) - 1)
-    symbol = np.where(p.vocabulary[at] == value, at + 1, SEPARATOR)
+    symbol = pc.index_in(w.array(), value_set=p.vocabulary).fill_null(SEPARATOR - 1).to_numpy().astype(np.int64) + 1
     # A separator after each document, then one for every stretch of separators.
     ends = w.first[1:][w.counts > 0]
     symbol = np.insert(symbol, ends, SEPARATOR)
@@ -239,7 +238,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "t
                       F.array().cast("array<struct<begin:int,end:int>>").alias("__hits"), F.array().cast("array<string>").alias("__items"))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast(phrases([(r.i, r.t) for r in part.toLocalIterator()], window))
+        sent = shipped(spark, phrases([(r.i, r.t) for r in part.toLocalIterator()], window))
         out = _against(out, sent, own)
     named = [F.col("__n_words").alias("n_words"), F.col("__hits").alias("spans"), F.col("__items").alias("items")]
     return out.select(*[quoted(c) for c in own], *named)
@@ -249,7 +248,7 @@ def _against(df: DataFrame, sent, keep: list[str]) -> DataFrame:
     """One step: what an earlier block found is in the row and is merged with what this one finds."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        p: Phrases = sent.value
+        p: Phrases = sent()
         w = words(batch.column("__text"), ALNUM, True)
         hit, found = shard_hits(w, p)
         had = batch.column("__had")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -71,21 +77,66 @@ def partitions_for(spark: SparkSession, size: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and Spark is one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="certflume-")
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a copy in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage by a copy in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="certflume-"))
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir that every executor can reach."""
-    import uuid
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives `value` inside tasks. It travels as bytes with the code of its classes, so workers need not
+    be able to import them; a worker process unpacks it once and remembers the last few."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> Any:
+        held = sys.__dict__.setdefault("_certflume_shipped", {})
+        key = hash(sent.value)
+        if key not in held:
+            while len(held) >= 4:
+                del held[next(iter(held))]
+            held[key] = pickle.loads(sent.value)
+        return held[key]
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="certflume-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return get
+
+
+def noded(docs: DataFrame, doc_id: str, text: str, keep: tuple | list = ()) -> DataFrame | None:
+    """(__node, __id, __text and `keep`) where ids stand for one text each; None if the given ids do so already.
+
+    Of an id with several texts that of the least hash keeps the id; the others get negative numbers made of id and text.
+    """
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("__id"), F.col(quoted(text)).cast("string").alias("__text"), *keep).withColumn("__h", F.xxhash64("__text"))
+    several = rows.where("__id IS NOT NULL").groupBy("__id").agg(F.min("__h").alias("__low"), F.max("__h").alias("__high")).where("__low < __high")
+    if several.isEmpty():
+        return None
+    own = F.when(F.col("__low").isNull() | (F.col("__h") == F.col("__low")), F.col("__id")).otherwise(-F.abs(F.xxhash64("__id", "__h") % (1 << 62)) - (1 << 62))
+    return rows.join(several.select("__id", "__low"), "__id", "left").select(own.alias("__node"), "__id", "__text", *keep)
+
+
+def renamed_nodes(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Results of `noded` rows (doc_id and component_id are nodes) by the rows' own ids; a component is named by its smallest id."""
+    own = nodes.groupBy("__node").agg(F.min("__id").alias("__id"))
+    rows = found.join(own, F.col("doc_id") == F.col("__node"), "left")
+    names = rows.where("component_id IS NOT NULL").groupBy(F.col("component_id").alias("__component")).agg(F.min("__id").alias("__name"))
+    rows = rows.join(names, F.col("component_id") == F.col("__component"), "left")
+    return rows.select(*[F.col("__id").alias(c) if c == "doc_id" else F.col("__name").alias(c) if c == "component_id" else F.col(c) for c in found.columns])
 
 
 def crc_mod(doc_id: str, n: int) -> Column:

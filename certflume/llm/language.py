@@ -304,7 +304,8 @@ def blocks(found: DataFrame, names: list[str], each: int = BLOCK_TERMS) -> list[
     for b in range(many):
         for row in rows.where(F.col("block") == b).collect():
             key, start = np.unique(np.frombuffer(row.k, np.uint64), return_index=True)
-            sent.append(spark.sparkContext.broadcast(Block(key, np.r_[start, len(row.k) // 8], np.frombuffer(row.l, np.int32), np.frombuffer(row.v, np.float64))))
+            # Plain arrays: workers need not know this module's classes to read them.
+            sent.append(spark.sparkContext.broadcast((key, np.r_[start, len(row.k) // 8], np.frombuffer(row.l, np.int32), np.frombuffer(row.v, np.float64))))
     return sent
 
 
@@ -333,7 +334,7 @@ class Languages:
         wanted, which = np.unique(np.concatenate(wanted), return_inverse=True) if len(one) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         hits = []
         for i, sent in enumerate(self.blocks if len(one) else []):
-            hits.append(sent.value.find(wanted))
+            hits.append(Block(*sent.value).find(wanted))
             if i >= KEPT_BLOCKS:
                 # The worker would keep it; it is read again from the executor's disk.
                 sent.__dict__.pop("_value", None)

@@ -19,9 +19,8 @@ then it is cut into blocks. With 32 bands of 4 rows a pair at the threshold of
 
 Nulls: null, empty and wordless texts have an empty set, size 0, and are linked
 with nothing. Rows with a null id are components of their own with a null
-component_id, and kept. Repeated rows get equal results; of rows with one
-id but different sets, those of equal sets share a component, and the set of the
-least digest stands for the id where ids are compared.
+component_id, and kept. Repeated rows get equal results; rows with one id but
+unlike texts are documents of their own, each in its own component.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import extend, partitions_for, quoted, saved, struct, total_bytes
-from .text import SPACED, Words, mix, slices, window_hashes, words
+from .frames import extend, noded, partitions_for, quoted, renamed_nodes, saved, struct, total_bytes
+from .text import CHECK_SEED, SEED, SPACED, Words, mix, slices, window_hashes, words
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 1024
@@ -51,9 +50,9 @@ SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint
 # ---- sets and their signatures
 
 
-def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(w: Words, k: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of all documents, sorted within each; and where each document's begin."""
-    value, doc, count = w.hashes(), w.doc(), w.counts
+    value, doc, count = w.hashes(seed), w.doc(), w.counts
     grams = window_hashes(value, k)
     last = w.first[1:][doc[:len(grams)]]
     whole = np.arange(len(grams)) + k <= last
@@ -72,6 +71,16 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(doc, np.arange(len(count) + 1))
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def confirmed_again(a: pa.Array, b: pa.Array, k: int, percent: int) -> bool:
+    """The same for two texts by hashes of another seed: 128 bits stand for a shingle of a link."""
+    return _similar(*(shingles(words(x, SPACED, True), k, CHECK_SEED)[0] for x in (a, b)), percent)
+
+
 def signatures(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per set: two digest halves, bands (sets x BANDS) and odd sketch (sets x bytes). Empty sets have zeros."""
     docs = len(first) - 1
@@ -180,10 +189,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, groups:
                     key = keys[done]
                     if key != here:
                         here = key
-                        centre = shingles(words(right.column("text").slice(place[key], 1).combine_chunks(), SPACED, True), k)[0]
+                        centre_text = right.column("text").slice(place[key], 1).combine_chunks()
+                        centre = shingles(words(centre_text, SPACED, True), k)[0]
                     own = value[first[d]:first[d + 1]]
-                    both = len(np.intersect1d(own, centre, assume_unique=True))
-                    if both and 100 * both >= percent * (len(own) + len(centre) - both):
+                    if _similar(own, centre, percent) and confirmed_again(batch.column("t").slice(d, 1), centre_text, k, percent):
                         out_a.append(key[0])
                         out_b.append(b[done])
                     done += 1
@@ -268,17 +277,19 @@ def across(bands: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFr
                     x = parent[x]
                 return x
 
+            def text_of(x: int) -> pa.Array:
+                return table.column("t").slice(x, 1).combine_chunks()
+
             def full(x: int) -> np.ndarray:
                 if x not in sets:
-                    sets[x] = shingles(words(table.column("t").slice(x, 1).combine_chunks(), SPACED, True), k)[0]
+                    sets[x] = shingles(words(text_of(x), SPACED, True), k)[0]
                 return sets[x]
 
             for n in np.lexsort((b, a, -likely)).tolist():
                 x, y = int(a[n]), int(b[n])
                 p, q = root(int(comp[x])), root(int(comp[y]))
                 if p != q:
-                    both = len(np.intersect1d(full(x), full(y), assume_unique=True))
-                    if 100 * both >= percent * (len(full(x)) + len(full(y)) - both):
+                    if _similar(full(x), full(y), percent) and confirmed_again(text_of(x), text_of(y), k, percent):
                         parent[max(p, q)] = min(p, q)
                         out.append((min(int(c[x]), int(c[y])), max(int(c[x]), int(c[y]))))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
@@ -288,6 +299,10 @@ def across(bands: DataFrame, classes: DataFrame, found: DataFrame, texts: DataFr
 
 def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs`."""
+    nodes = noded(docs, doc_id, text)
+    if nodes is not None:
+        found = renamed_nodes(clusters(nodes, "__node", "__text", shingle, percent).drop("kept"), nodes)
+        return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     threshold = percent / 100
     groups = partitions_for(docs.sparkSession, total_bytes(docs, text), GROUP_BYTES)
     sigs = saved(signature_table(docs, doc_id, text, shingle))

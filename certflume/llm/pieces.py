@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from .frames import extend, quoted, saved, small_batches, struct, without
-from .text import BASE, inverse, mix, powers, prefix_sums
+from .text import CHECK_SEED, SEED, mix, range_hashes
 
 SPACE = "▁"
 #: Characters in a chunk; longer documents are scanned in parallel.
@@ -48,8 +48,8 @@ LONG_UNIT = 64
 NEVER = float("-inf")
 
 
-#: Nothing remembered yet: unit hashes, where their ids begin, ids. The one entry stands for no unit.
-EMPTY = np.array([(1 << 64) - 1], np.uint64), np.array([0, 0], np.int64), np.zeros(0, np.int32)
+#: Nothing remembered yet: unit hashes, where their ids begin, ids, and a second hash of each. The one entry stands for no unit.
+EMPTY = np.array([(1 << 64) - 1], np.uint64), np.array([0, 0], np.int64), np.zeros(0, np.int32), np.zeros(1, np.uint64)
 
 
 class Model:
@@ -65,6 +65,7 @@ class Model:
         self.longest = max((len(p) for p, _, kind in pieces if kind in (1, 4)), default=1)
         self._walk: tuple[np.ndarray, np.ndarray] | None = None
         self._remembered = EMPTY
+        self._seed = SEED
         self._spelled: tuple[np.ndarray, np.ndarray] | None = None
         self._known = np.array([-1], np.int64), np.array([False])
         self._follows: dict[int, bool] = {}
@@ -187,7 +188,11 @@ class Model:
         """Sorted hashes of all beginnings of pieces, and the piece that each is (-1: none)."""
         if self._walk is None:
             listed = sorted(self.prefixes)
-            key = hashed_ranges(code_points(listed))(*_bounds([len(x) for x in listed]))
+            chars, begin, length = code_points(listed), *_bounds([len(x) for x in listed])
+            key = np.zeros(len(listed), np.uint64)
+            for n in range(self.longest):
+                more = np.flatnonzero(length - begin > n)
+                key[more] = grown(key[more], chars[begin[more] + n])
             order = np.argsort(key)
             self._walk = key[order], np.array([self.ids.get(listed[i], -1) for i in order], np.int64)
             # Of each code point: 2 if it is a piece, 1 if it is in one, else 0.
@@ -213,20 +218,26 @@ class Model:
         cut[1:-1] |= (kind[1:] == 0) | (kind[:-1] == 0)
         bounds = np.flatnonzero(cut)
         begin, end = bounds[:-1], bounds[1:]
-        hashed = hashed_ranges(chars)
-        key, one, back = np.unique(hashed(begin, end), return_index=True, return_inverse=True)
-        known, at, flat = self._remembered
+        # Two hashes stand for a unit; if one alone is equal, both are made anew with another seed.
+        data = chars.view(np.uint8)
+        hashed, check = range_hashes(data, 4 * begin, 4 * end, self._seed), range_hashes(data, 4 * begin, 4 * end, self._seed ^ CHECK_SEED)
+        key, one, back = np.unique(hashed, return_index=True, return_inverse=True)
+        known = self._remembered[0]
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        new = np.flatnonzero(known[place] != key)
+        had = known[place] == key
+        if (check != check[one][back]).any() or (self._remembered[3][place[had]] != check[one][had]).any():
+            self._remembered, self._seed = EMPTY, int(mix(np.array([self._seed], np.uint64))[0])
+            return self.encode_all(texts)
+        new = np.flatnonzero(~had)
         if len(new):
             if len(known) + len(new) > UNITS:
                 # Start afresh with what this batch needs.
                 self._remembered = EMPTY
-                return self.encode_all_known(key, one, back, begin, end, first, chars, kind, hashed, np.arange(len(key)))
-            return self.encode_all_known(key, one, back, begin, end, first, chars, kind, hashed, new)
+                new = np.arange(len(key))
+            return self.encode_all_known(key, check[one], one, back, begin, end, first, chars, kind, new)
         return self._gathered(place, back, begin, first)
 
-    def encode_all_known(self, key, one, back, begin, end, first, chars, kind, hashed, new):
+    def encode_all_known(self, key, check, one, back, begin, end, first, chars, kind, new):
         """Learn the new units, then look all up."""
         b, e = begin[one[new]], end[one[new]]
         plain = np.add.reduceat((kind != 2).astype(np.int64), begin)[one[new]] == 0
@@ -234,31 +245,31 @@ class Model:
         parts: list = [None] * len(new)
         quick = np.flatnonzero(plain)
         if len(quick):
-            ids, offsets = self.paths(b[quick], e[quick], hashed)
+            ids, offsets = self.paths(b[quick], e[quick], chars)
             for n, i in enumerate(quick.tolist()):
                 parts[i] = ids[offsets[n]:offsets[n + 1]]
         for i in np.flatnonzero(~plain).tolist():
             text = chars[b[i]:e[i]].tobytes().decode("utf-32-le", "surrogatepass")
             parts[i] = np.array(self.unit(text), np.int32)
-        known, at, flat = self._remembered
+        known, at, flat, checks = self._remembered
         length = np.array([len(x) for x in parts], np.int64)
-        keys = np.concatenate([known, key[new]])
+        keys, checks = np.concatenate([known, key[new]]), np.concatenate([checks, check[new]])
         sizes = np.concatenate([np.diff(at), length])
         starts = np.concatenate([at[:-1], len(flat) + np.cumsum(length) - length])
         order = np.argsort(keys, kind="stable")
         every = np.concatenate([flat, *parts]).astype(np.int32)
         sizes, starts = sizes[order], starts[order]
         total = np.r_[0, np.cumsum(sizes)]
-        self._remembered = keys[order], total, every[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        self._remembered = keys[order], total, every[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])], checks[order]
         return self._gathered(np.searchsorted(self._remembered[0], key), back, begin, first)
 
     def _gathered(self, place: np.ndarray, back: np.ndarray, begin: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, at, flat = self._remembered
+        _, at, flat, _ = self._remembered
         start, size = at[place][back], (at[place + 1] - at[place])[back]
         total = np.r_[0, np.cumsum(size)]
         return flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total[np.searchsorted(begin, first)]
 
-    def paths(self, unit_begin: np.ndarray, unit_end: np.ndarray, hashed) -> tuple[np.ndarray, np.ndarray]:
+    def paths(self, unit_begin: np.ndarray, unit_end: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of BPE units of whole pieces, ranges of characters. Only one sequence of pieces is valid for each prefix of a
         unit, so each end needs one node, and all units take the step from a place at the same time."""
         keys, values = self._tables()
@@ -270,12 +281,14 @@ class Model:
         shift = (unit_begin - first)[word]
         stop = (first + length)[word]
         begins, ends, names = [], [], []
+        h = np.zeros(len(at), np.uint64)
         for n in range(1, self.longest + 1):
-            at = at[at + n <= stop[at]]
-            h = hashed(at + shift[at], at + shift[at] + n)
+            inside = at + n <= stop[at]
+            at = at[inside]
+            h = grown(h[inside], chars[at + shift[at] + n - 1])
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             known = keys[place] == h
-            at, piece = at[known], values[place[known]]
+            at, piece, h = at[known], values[place[known]], h[known]
             whole = piece >= 0
             begins.append(at[whole])
             ends.append(at[whole] + n)
@@ -462,15 +475,9 @@ def _bounds(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return end - lengths, end
 
 
-def hashed_ranges(chars: np.ndarray):
-    """A function that gives the hashes of ranges of these characters."""
-    sums = prefix_sums(chars.astype(np.uint64) + np.uint64(1), BASE)
-    back = powers(inverse(BASE), len(chars) + 1)
-
-    def hashed(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
-
-    return hashed
+def grown(h: np.ndarray, char: np.ndarray) -> np.ndarray:
+    """The hash of a string from that of the string without its last character."""
+    return mix(h * np.uint64(SEED) + char.astype(np.uint64) + np.uint64(1))
 
 
 def product(left: dict, right: dict) -> dict:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import crc_mod, extend, quoted, struct
+from .frames import crc_mod, extend, quoted, shipped, struct
 from .linear import FIT_ROWS, labelled_sample, logistic, sigmoid
 from .text import SPACED, string_bytes, window_hashes, words
 
@@ -148,10 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Quality, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append `score` (0 to 1) and `predicted` (score >= CUT). Columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(docs.sparkSession, model)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        s = sent.value.score(batch.column("__text"))
+        s = sent().score(batch.column("__text"))
         return [pa.array(s), pa.array((s >= CUT).astype(np.int32))]
 
     return extend(docs, text, make, struct("score double, predicted int"), keep=keep)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, near, pieces, quality, substrings, topk, toxicity, urls, warc
+from . import alignment, decontaminate, grams, language, near, pieces, quality, substrings, topk, toxicity, urls, warc
 from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
@@ -95,3 +95,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(docs)
     found = language.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query("op12_gram_join", grams.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return grams.join(table(spark, folder, "documents"), shingle=5, percent=80)
+
+
+#: The public byte-level vocabulary that is aligned with PIECES; a parameter of the operator.
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.measure(table(spark, folder, "documents"), alignment.Vocabularies.load(BYTES, PIECES), keep=["doc_id"])
+    return found.select("doc_id", *alignment.RESULTS)

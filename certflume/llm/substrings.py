@@ -38,15 +38,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .frames import partitions_for, quoted, struct, total_bytes
-from .text import SPACED, WINDOW_BASE, Words, inverse, mix, powers, prefix_sums, slices, string_bytes, window_hashes, within, words
+from .text import CHECK_SEED, SPACED, Words, mix, slices, string_bytes, window_hashes, within, words
 
 WINDOW, GRAM = 13, 5
 #: Id of rows without one.
 LAST = (1 << 63) - 1
 #: Text bytes in a group of documents, minimizers in a message of a task, words in one automaton.
 GROUP_BYTES, TASK_HASHES, SHARD_WORDS = 16 << 20, 400_000, 40_000
-#: Counts of minimizers end here; of the second hash of a hot minimizer's windows.
-MOST, CHECK_BASE = (1 << 16) - 1, 0xD6E8FEB86659FD93
+#: Counts of minimizers end here.
+MOST = (1 << 16) - 1
 #: Windows of hot minimizers, and what is answered of a passage or window.
 WINDOWS = np.dtype([("key", np.uint64), ("check", np.uint64), ("low", np.int64), ("high", np.int64)])
 RUNS = np.dtype([("key", np.uint64), ("holder", np.int64), ("from", np.uint16), ("to", np.uint16)])
@@ -181,8 +181,8 @@ def _spread(w: Words, value: np.ndarray, found: Passages, which: np.ndarray, ids
     start = np.repeat(found.begin[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     out = np.zeros(len(start), WINDOWS)
     if len(start):
-        out["key"] = passage_hashes(value, start, start + window)
-        out["check"] = passage_hashes(w.hashes(CHECK_BASE), start, start + window)
+        out["key"] = window_hashes(value, window)[start]
+        out["check"] = window_hashes(w.hashes(CHECK_SEED), window)[start]
         out["low"] = out["high"] = ids[np.repeat(found.doc[which], n)]
     return out
 
@@ -339,7 +339,7 @@ def _answer(window: int, gram: int):
         mini = np.array([grams[i:j - gram + 1].min() if j - i >= gram else 0 for i, j in zip(w.first, w.first[1:], strict=False)], np.uint64)
         mini = _common(w, grams, window, gram, mini)
         order = np.argsort(mini, kind="stable")
-        _, symbol = np.unique(value, return_inverse=True)
+        symbol = w.codes()
         found: list[list[tuple[int, int, int]]] = [[] for _ in listed]
         begin = 0
         while begin < len(order):
@@ -418,9 +418,19 @@ def _common(w: Words, grams: np.ndarray, window: int, gram: int, fallback: np.nd
 
 
 def passage_hashes(word_hash: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = prefix_sums(word_hash, WINDOW_BASE)
-    value = (sums[end] - sums[begin]) * powers(inverse(WINDOW_BASE), len(word_hash) + 1)[begin]
-    return mix(value + (end - begin).astype(np.uint64))
+    """Hashes of ranges of words: the sum of what each word and its place give."""
+    n = end - begin
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(first, n)
+    each = mix(word_hash[np.repeat(begin, n) + place] ^ mix(place.astype(np.uint64) + np.uint64(CHECK_SEED)))
+    # A range without words has no element of its own to sum.
+    some = n > 0
+    out = n.astype(np.uint64)
+    if some.any():
+        out[some] += np.add.reduceat(each, first[some])
+    return mix(out)
 
 
 # ---- step 4: spans of a document
@@ -448,7 +458,7 @@ def removed(w: Words, ids: np.ndarray, runs: np.ndarray, window: int, gram: int)
     single = runs[(runs["from"] == 0) & (runs["to"] == 1)]
     start = within(w, window) if len(single) else np.zeros(0, np.int64)
     if len(start):
-        key = passage_hashes(value, start, start + window)
+        key = window_hashes(value, window)[start]
         at = np.minimum(np.searchsorted(single["key"], key), len(single) - 1)
         doc = np.searchsorted(w.first, start, side="right") - 1
         start = start[(single["key"][at] == key) & (single["holder"][at] < ids[doc])]

@@ -2,19 +2,26 @@
 
 All documents of a batch are cut at once over the array's byte buffer, so the
 cost is a few passes over the bytes and nothing per word is a Python object.
-Words get 64-bit polynomial hashes; callers that must be exact compare the
-bytes of what matched.
+Words get 64-bit hashes that run over their bytes eight at a time, each step
+mixed before the next, so no algebra of the bytes makes two words meet. What
+decides a result is compared by its bytes (`Words.codes`) or by hashes of two
+seeds, 128 bits in all.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Odd multipliers of two independent hashes of a word.
+SEED, CHECK_SEED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+WINDOW_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
 
 
 def byte_table(breaks) -> np.ndarray:
@@ -44,31 +51,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_POWERS: dict = {}
+#: The lowest i bytes of a lane.
+_LANE_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** i mod 2 ** 64 for i < n."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1024)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 23:
-            _POWERS[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
-def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
-    """Sums of values[j] * base ** j, with a leading 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
-    return out
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """Hashes of byte ranges."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64(seed))
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, 0, (1,))
+    long = size > LONG_WORD
+    live = np.flatnonzero((size > 0) & ~long)
+    at = 0
+    while len(live):
+        rest = size[live] - at
+        lane = lanes[start[live] + at] & _LANE_MASK[np.minimum(rest, 8)]
+        h[live] = mix(h[live] ^ lane * np.uint64(seed | 1))
+        live = live[rest > 8]
+        at += 8
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
 
 
 @dataclass
@@ -90,10 +94,21 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self, base: int = BASE) -> np.ndarray:
-        sums = prefix_sums(self.bytes.astype(np.uint64) + np.uint64(1), base)
-        value = sums[self.end] - sums[self.start]
-        return mix(value * powers(inverse(base), len(self.bytes) + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, seed: int = SEED) -> np.ndarray:
+        return range_hashes(self.bytes, self.start, self.end, seed)
+
+    def array(self) -> pa.Array:
+        """The words as a binary array."""
+        size = self.end - self.start
+        edge = np.zeros(len(self.bytes) + 1, np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        inside = self.bytes[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)]), pa.py_buffer(inside)])
+
+    def codes(self) -> np.ndarray:
+        """Numbers of the words, equal where the bytes are equal."""
+        return self.array().dictionary_encode().indices.to_numpy().astype(np.int64)
 
     def text(self, i: int) -> bytes:
         return self.bytes[self.start[i]:self.end[i]].tobytes()
@@ -131,12 +146,22 @@ def words(array: pa.Array, table: np.ndarray, lower: bool) -> Words:
 
 
 def window_hashes(word_hash: np.ndarray, k: int) -> np.ndarray:
-    """Of every k consecutive words, documents not regarded; empty if there are fewer than k."""
+    """Of every k consecutive words, documents not regarded; empty if there are fewer than k.
+
+    Windows of 1, 2, 4, ... words are made from each other; those that k is the sum of are joined.
+    """
     n = len(word_hash) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = prefix_sums(word_hash, WINDOW_BASE)
-    return mix((sums[k:] - sums[:-k]) * powers(inverse(WINDOW_BASE), n))
+    out, at, level, size = np.full(n, k, np.uint64), 0, word_hash, 1
+    while size <= k:
+        if k & size:
+            out = mix(out * WINDOW_FACTOR + level[at:at + n])
+            at += size
+        if 2 * size <= k:
+            level = mix(level[:-size] * WINDOW_FACTOR + level[size:])
+        size *= 2
+    return out
 
 
 def within(w: Words, k: int) -> np.ndarray:

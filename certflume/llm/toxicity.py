@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import crc_mod, extend, quoted, small_batches, struct
+from .frames import crc_mod, extend, quoted, shipped, small_batches, struct
 from .linear import FIT_ROWS, labelled_sample, logistic, sigmoid
 from .text import ALNUM, Words, slices, string_bytes, words
 
@@ -177,7 +177,7 @@ def patterns(docs: DataFrame, text: str, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in slices(batches, "t"):
-            votes, _ = evidence(batch.column("t"), sent.value)
+            votes, _ = evidence(batch.column("t"), sent())
             label = np.array([NOTHING if y is None else TOXIC if y else CLEAN for y in batch.column("__y").to_pylist()])
             code = np.hstack([votes, label[:, None]]).astype(np.int64) @ 3 ** np.arange(len(NAMES) + 1)
             for c, n in zip(*np.unique(code, return_counts=True), strict=True):
@@ -264,22 +264,21 @@ class Toxicity:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Toxicity:
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     may = docs.where(crc_mod(doc_id, 5) != 0).select(F.col(quoted(doc_id)).cast("long").alias("__id"), F.col(quoted(text)).cast("string").alias("t"))
     sample = F.broadcast(labelled_sample(labels, label, doc_id, rows))  # `rows` bounds it
     lex = lexicon(may.join(sample, "__id"), "t")
-    sent = context.broadcast(lex)
+    sent = shipped(docs.sparkSession, lex)
     digits = 3 ** np.arange(len(NAMES) + 1)
     found = patterns(may.join(sample, "__id", "left"), "t", sent).collect()  # 3 ** 13 rows at most
     code = np.array([r.pattern for r in found], np.int64)
     votes = code[:, None] // digits % 3 if len(code) else np.full((1, len(digits)), NOTHING)
     model = label_model(votes, np.array([r.n for r in found], float) if len(code) else np.ones(1))
-    sent_model = context.broadcast(model)
+    sent_model = shipped(docs.sparkSession, model)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        v, x = evidence(batch.column("__text"), sent.value)
+        v, x = evidence(batch.column("__text"), sent())
         label = np.where(batch.column("__y").to_numpy() > 0, TOXIC, CLEAN)
-        p = sent_model.value.posterior(np.hstack([v, label[:, None]]))
+        p = sent_model().posterior(np.hstack([v, label[:, None]]))
         return [pa.array(p), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())]
 
     fit = extend(may.join(sample, "__id"), "t", make, struct("p double, x binary"), keep=["__y"]).select("p", "x").toArrow()
@@ -300,6 +299,6 @@ def _fit(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append `score` (0 to 1) and `predicted` (score >= 0.5). Columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    make = lambda batch: [pa.array((s := sent.value.score(batch.column("__text"))).astype(np.float64)), pa.array((s >= 0.5).astype(np.int32))]
+    sent = shipped(docs.sparkSession, model)
+    make = lambda batch: [pa.array((s := sent().score(batch.column("__text"))).astype(np.float64)), pa.array((s >= 0.5).astype(np.int32))]
     return extend(docs, text, make, struct("score double, predicted int"), keep=keep)
