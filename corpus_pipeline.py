@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from certflume.llm import decontaminate, near, pieces, substrings, toxicity
-from certflume.llm.frames import quoted, shared_folder
+from certflume.llm.frames import noded, quoted, shared_folder
 from certflume.llm.queries import PIECES
 
 #: Words of a passage that is removed where it repeats.
@@ -34,10 +34,16 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near-duplicates (five-word shingles, similarity of 0.8 or more), once."""
-    kept = near.clusters(docs.select("doc_id", "text"), shingle=5, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """Keep one document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more): the smallest id, once.
+
+    Rows with one id but unlike texts are documents of their own; of rows with equal id and text one stays.
+    """
+    packed = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("__doc"), F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
+    nodes = noded(packed, "__id", "__text", keep=["__doc"])
+    rows = packed.withColumn("__node", F.col("__id")) if nodes is None else nodes
+    kept = near.clusters(rows, "__node", "__text", shingle=5, percent=80).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    named = rows.join(kept, rows["__node"] == kept["__kept"], "left_semi").dropDuplicates(["__node"])
+    return named.unionByName(rows.where("__node IS NULL")).select("__doc.*")
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
