@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, decontaminate, grams, language, near, pieces, quality, substrings, topk, toxicity, urls, warc
+from . import alignment, decontaminate, grams, language, near, pieces, quality, repair, substrings, topk, toxicity, urls, warc
 from .frames import crc_mod, shared_folder
 
 QUERIES: dict = {}
@@ -97,6 +97,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query("op11_repair", repair.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(table(spark, folder, "conversations"))
+
+
 @query("op12_gram_join", grams.ORACLE)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return grams.join(table(spark, folder, "documents"), shingle=5, percent=80)
