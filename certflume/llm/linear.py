@@ -11,11 +11,11 @@ from .frames import crc_mod, quoted
 FIT_ROWS = 40_000
 
 
-def labelled_sample(labels: DataFrame, label: str, doc_id: str = "doc_id", rows: int = FIT_ROWS, held: int = 5) -> DataFrame:
-    """(id, y) of labelled rows that may be learned from, `rows` at most. Two labels of one id: the larger."""
+def labelled_sample(labels: DataFrame, label: str, doc_id: str = "doc_id", rows: int | None = FIT_ROWS, held: int = 5) -> DataFrame:
+    """(id, y) of labelled rows that may be learned from, `rows` at most (None: all). Two labels of one id: the larger."""
     usable = labels.where(F.col(quoted(doc_id)).isNotNull() & F.col(quoted(label)).isin(0, 1) & (crc_mod(doc_id, held) != 0))
     one = usable.groupBy(F.col(quoted(doc_id)).cast("long").alias("__id")).agg(F.max(F.col(quoted(label)).cast("int")).alias("__y"))
-    return one.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    return one if rows is None else one.orderBy(F.xxhash64("__id"), "__id").limit(rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .frames import extend, quoted, saved, small_batches, struct, without
+from .frames import extend, partitions_for, quoted, saved, small_batches, struct, total_bytes, without
 from .text import CHECK_SEED, SEED, mix, range_hashes
 
 SPACE = "▁"
 #: Characters in a chunk; longer documents are scanned in parallel.
 CHUNK_CHARS = 1 << 15
+#: Bytes of giant documents in a task.
+TASK_BYTES = 512 << 10
 #: Matrices in one step of the scan.
 GROUP = 64
 #: Units and pairs that a task remembers before it starts afresh.
@@ -580,7 +582,8 @@ def _giants(docs: DataFrame, sent, text: str, out: str, chunk: int, columns: lis
                                                      ["row", "k", "piece", "lo", "hi"])
 
     chunks = rows.select("__row", F.col(quoted(text)).cast("string")).mapInArrow(split, "row bigint, k int, piece string, lo int, hi int")
-    chunks = chunks.repartition("row", "k")
+    # A chunk costs far more time than its bytes tell, so the number of tasks is given, not left to their size.
+    chunks = chunks.repartition(partitions_for(docs.sparkSession, total_bytes(rows, text), TASK_BYTES), "row", "k")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(sent)

@@ -7,9 +7,10 @@ voter what it says given each class (its accuracy), and from the correlations
 that remain given the class how much of its evidence is its own. Given labels
 are one more voter. A linear classifier is then trained on the posterior labels.
 
-Of labelled rows at most FIT_ROWS are used, to pick lexicon terms and to fit the
-classifier; votes are counted over all rows. Term statistics leave Spark as the
-few strongest terms only.
+The classifier is fitted on `rows` labelled rows at most (FIT_ROWS); terms are counted over
+all labelled rows that may be learned from, votes over all rows. The lexicon that tasks are sent holds the
+`terms` strongest terms of the toxic class and `features` further ones (TERMS and FEATURES
+by default), so its size is bounded; both are parameters of `train`.
 
 Nulls: a null text is an empty one and gets the score of no evidence. Rows with
 null ids are scored. Without any labelled toxic row the seed lexicons alone vote.
@@ -34,9 +35,9 @@ SEEDS = {
     "profanity": "shit fuck fucking bastard bitch asshole crap damn mierda puta merde putain salope scheiße arschloch",
     "threat": "kill die hurt destroy hate burn matar odio tuer haine töten hass",
 }
-#: Terms learned from labels, and the voters they are dealt to.
+#: Terms learned from labels that vote, at most, and the voters they are dealt to.
 TERMS, GROUPS = 96, 5
-#: Further terms that only the classifier sees.
+#: Further terms that only the classifier sees, at most.
 FEATURES = 256
 #: A learned term occurs in so many labelled documents at least.
 LEAST_DOCS = 5
@@ -109,15 +110,15 @@ class Lexicon:
     features: int
 
 
-def lexicon(sample: DataFrame, text: str) -> Lexicon:
-    n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("__y"), F.lit(0))).first()
-    counts = term_counts(sample, text).where(F.col("n") >= LEAST_DOCS)
+def lexicon(labelled: DataFrame, text: str, terms: int = TERMS, features: int = FEATURES) -> Lexicon:
+    n, toxic = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("__y"), F.lit(0))).first()
+    counts = term_counts(labelled, text).where(F.col("n") >= LEAST_DOCS)
     # How far the toxic share of the term's documents lies from the overall share, in standard errors.
     share = (toxic + 1.0) / (n + 2.0)
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(share * (1 - share)))
     ranked = counts.select("term", z.alias("z"), (F.col("toxic") / F.col("n")).alias("p"))
-    strong = [r.term for r in ranked.where((F.col("p") > min(0.9, 3 * share)) & (F.col("z") > 4)).orderBy(F.desc("z"), "term").limit(TERMS).collect()] if toxic else []
-    other = [r.term for r in ranked.orderBy(F.desc(F.abs("z")), "term").limit(FEATURES).collect()] if toxic else []
+    strong = [r.term for r in ranked.where((F.col("p") > min(0.9, 3 * share)) & (F.col("z") > 4)).orderBy(F.desc("z"), "term").limit(terms).collect()] if toxic else []
+    other = [r.term for r in ranked.orderBy(F.desc(F.abs("z")), "term").limit(features).collect()] if toxic else []
     voter: dict[int, int] = {}
     feature: dict[int, int] = {}
     for i, t in enumerate(strong):
@@ -262,11 +263,13 @@ class Toxicity:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS,
+          terms: int = TERMS, features: int = FEATURES) -> Toxicity:
     small_batches(docs.sparkSession)
     may = docs.where(crc_mod(doc_id, 5) != 0).select(F.col(quoted(doc_id)).cast("long").alias("__id"), F.col(quoted(text)).cast("string").alias("t"))
     sample = F.broadcast(labelled_sample(labels, label, doc_id, rows))  # `rows` bounds it
-    lex = lexicon(may.join(sample, "__id"), "t")
+    # All labelled rows; Spark decides how to join them.
+    lex = lexicon(may.join(labelled_sample(labels, label, doc_id, None), "__id"), "t", terms, features)
     sent = shipped(docs.sparkSession, lex)
     digits = 3 ** np.arange(len(NAMES) + 1)
     found = patterns(may.join(sample, "__id", "left"), "t", sent).collect()  # 3 ** 13 rows at most

@@ -57,14 +57,15 @@ def weighed(df: DataFrame, url: str = "url", vocabulary: dict[str, int] = VOCABU
         automaton = ahocorasick.Automaton()
         for term, weight in vocabulary.items():
             automaton.add_word(term, (term, weight))
-        automaton.make_automaton()
+        # Without any term there is nothing to walk.
+        hits = automaton.iter if vocabulary and not automaton.make_automaton() else lambda text: ()
         table = str.maketrans(UPPER, LOWER)
         word = set(LOWER + "0123456789")
         out: list[tuple[int, int, int]] = []
         for text in batch.column("__text").to_pylist():
             text = (text or "").translate(table)
             strict, found = 0, {}
-            for end, (term, weight) in automaton.iter(text):
+            for end, (term, weight) in hits(text):
                 begin = end - len(term) + 1
                 if (begin and text[begin - 1] in word) or (end + 1 < len(text) and text[end + 1] in word):
                     continue

@@ -76,14 +76,11 @@ def near(rows, k=4, percent=80):
 def top(vectors, k=5):
     import math
 
-    held = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(256 * x) for x in v]
-            held[i] = min(held.get(i, q), q)
+    rows = [(i, [math.floor(256 * x) if abs(x) < 2 ** 53 else int(x) * 256 for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in held.items():
+    for n, (i, q) in enumerate(rows):
         if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in held.items() if j != i and len(v) == len(q))
+            score = lambda v: max(min(sum(a * b for a, b in zip(q, v, strict=True)), (1 << 63) - 1), -(1 << 63))  # noqa: B023, E731
+            scores = sorted((-score(v), j) for m, (j, v) in enumerate(rows) if m != n and len(v) == len(q))
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
     return sorted(out)

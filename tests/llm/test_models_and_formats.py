@@ -261,3 +261,8 @@ def test_broken_segments_are_told(spark):
     assert all(got[k].error and got[k].payload is None for k in ("gap", "length", "open", "twice"))
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nab\r\n0\r\n\r\n")
+
+
+def test_url_verdicts_without_a_vocabulary(spark):
+    df = spark.createDataFrame([(1, "http://casino.net/"), (2, None)], "page_id bigint, url string")
+    assert {r.page_id: (r.verdict, r.weight) for r in urls.judge(df, vocabulary={}).collect()} == {1: ("allow", 0), 2: ("allow", 0)}

@@ -155,15 +155,18 @@ def test_grams_against_brute_force(spark, options):
     assert got == [r[:3] for r in brute.near(rows, k=5)]
 
 
-def test_grams_find_what_the_rounds_miss(spark):
-    """Without the rounds of single partners, all links come from comparing lists across components."""
+def test_grams_find_what_single_partners_miss(spark, monkeypatch):
+    """Without the passes of single partners, all links come from comparing lists across components."""
+    monkeypatch.setattr(grams, "KINDS", 0)
+    first = grams.first_pass
+
+    def lists_only(percent):
+        run = first(percent)
+        return lambda table: (lambda found: found.filter(grams.pa.array(found.column("pos").to_numpy() >= 0)))(run(table))
+
+    monkeypatch.setattr(grams, "first_pass", lists_only)
     rows = gram_rows()
-    none = lambda lists, percent, by, where: lists.select(F.col("g").alias("a"), F.col("g").alias("b")).limit(0)
-    met, grams.met = grams.met, none
-    try:
-        got = sorted({tuple(r) for r in grams.join(spark.createDataFrame(rows, "doc_id bigint, text string"), short=8, block=8).collect()})
-    finally:
-        grams.met = met
+    got = sorted({tuple(r) for r in grams.join(spark.createDataFrame(rows, "doc_id bigint, text string"), short=8, block=8).collect()})
     assert got == [r[:3] for r in brute.near(rows, k=5)]
 
 

@@ -125,6 +125,28 @@ def test_suffix_automaton_knows_first_holders():
         assert automaton.first_holders(query, 4) == expected
 
 
+#: Two words of 1,024 letters whose polynomial hashes modulo 2 ** 64 are equal for every base.
+MORSE = tuple("".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(1024)) for flip in (0, 1))
+
+
+def test_unlike_words_with_equal_polynomial_hashes(spark):
+    x, y = MORSE
+    assert x != y
+    docs = [(1, " ".join(f"{x} w{i}" for i in range(20))), (2, " ".join(f"{y} w{i}" for i in range(20))), (3, x), (4, y), (5, f"{x} {y} " * 20), (6, f"{y} {x} " * 20)]
+    assert sorted((tuple(r) for r in substrings.digests(texts(spark, docs)).collect()), key=repr) == brute.substrings(docs)
+    assert sorted((tuple(r) for r in substrings.digests(texts(spark, docs), hot=0).collect()), key=repr) == brute.substrings(docs)
+    assert sorted(tuple(r) for r in near.clusters(texts(spark, docs), shingle=4).collect()) == brute.near(docs)
+    bench = [(1, x), (2, f"{y} w3 {y}")]
+    marked = decontaminate.judged(texts(spark, docs), spark.createDataFrame(bench, "item_id bigint, text string"), keep=["doc_id"])
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in marked.collect()} == brute.decontaminated(docs, bench)
+
+
+def test_near_unlike_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "P Q R S T U V"), (3, "a b c d e f g"), (3, "other words of its own here"), (None, "a b c d e f g")]
+    got = sorted((tuple(r) for r in near.clusters(texts(spark, rows)).collect()), key=repr)
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 2, 3, True), (3, 3, 1, False), (None, 3, None, True)]
+
+
 def near_rows():
     rng = random.Random(4)
     base = [[f"w{rng.randrange(999)}" for _ in range(150)] for _ in range(6)]
@@ -166,7 +188,7 @@ def test_top_against_brute_force(spark, block):
     rng = random.Random(6)
     rows = [(i, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(160)]
     rows += [(i, [1.0, 1.0, 1.0, 1.0]) for i in range(200, 230)] + [(100, [9.0, 9.0, 9.0, 9.0]), (300, None), (350, [1.0, None, 2.0, 1.0]), (400, [1.0, float("nan"), 1.0, 1.0]), (None, [1.0] * 4),
-                                                                     (450, [float("inf")] * 4), (50, rows[50][1])]
+                                                                     (450, [float("inf")] * 4), (50, rows[50][1]), (50, rows[50][1]), (100, [0.0, 0.0, 0.25, 1.0]), (7, [1.0] * 4), *[(8, [0.5, 1.0, 1.0, 1.0])] * 9]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     from pyspark.sql import functions as F
 
@@ -177,7 +199,7 @@ def test_top_against_brute_force(spark, block):
 def test_top_few_candidates_huge_components_and_empty_table(spark):
     from pyspark.sql import functions as F
 
-    rows = [(0, [1e9, 3e9]), (1, [2e3, -1e3]), (2, [1.0, 2.0])]
+    rows = [(0, [1e9, 3e9]), (1, [2e3, -1e3]), (2, [1.0, 2.0]), (3, [1.9e16, 0.0]), (4, [0.0, -1e300]), (50, [0.0, 0.5]), (100, [1e-3, 3e17])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     ask = F.col("vec_id") % 50 == 0
     assert sorted(tuple(r) for r in topk.top(df, ask).select("query_id", "rank", "vec_id", "score").collect()) == brute.top(rows)
