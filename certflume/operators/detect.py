@@ -2,14 +2,15 @@
 
 The plan for any number of names:
 
-1. Every name is turned into a set of hashed keys (grams of its folded and
-   unswapped forms, its registrable name, deletion variants of its pieces,
-   numbers of matching patterns) and meets the watchlist's keys in one hash
-   join. The watchlist side is limited to 500 entries and its size is computed
-   before it is broadcast; names that share no key end here, without a shuffle.
-2. Surviving rows are merged per name and entry by ``bit_or``, which combines
+1. Every name is turned into hashed keys (grams of its folded and unswapped
+   forms, its registrable name, parts of its pieces, grams of literals that
+   patterns need) and meets the watchlist's keys in the Arrow step that makes
+   them. The watchlist is limited to 500 entries, so its keys travel with the plan; names that
+   share no key end here, without a shuffle. Patterns run on names that hold one of their literals; only those
+   that need none run on all.
+2. What survives, a row for each name and entry, is written once. Rows of one name are merged
    map-side, so a name that fills a third of the input still costs one row per
-   task in the only shuffle.
+   task in the shuffle before scoring.
 3. Each merged row is scored exactly. Keys only propose; they never decide.
 """
 
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import hold, let
-from ..functions.keys import GRAM, SHORT, KeySpec, bitmap, edits, name_keys, near_keys, text_keys
+from ..functions.keys import GRAM, SHORT, KeySpec, bitmap, edits, name_proposals, near_keys, part_keys, text_keys
+from ..functions.literals import required
 from ..functions.names import (
     bare_name, find_word, host_text, lure_words, pieces, severity_of, split_domain, unswap,
 )
 from ..functions.typos import typos
 from ..functions.unicode import ascii_host, name_forms
+from ..session import written
 from .watchlist import CompiledWatchlist, PinnedWatchlist, pin
 
 EVIDENCE_FIELDS = {
@@ -43,59 +46,52 @@ FINDING = (
     f"severity string, reasons array<string>, evidence array<{EVIDENCE}>"
 )
 
-# Broadcast the watchlist's keys only up to this many rows (about 100 MB).
-BROADCAST_KEYS = 2_000_000
-
 
 # --- keys --------------------------------------------------------------------
 
-def watch_keys(watch: PinnedWatchlist) -> tuple[pa.Table, KeySpec]:
+def watch_keys(watch: PinnedWatchlist) -> KeySpec:
     """Every key that proposes an entry with the words it speaks for, and what
     a name has to be searched for. Bounded by the limits of a watchlist."""
-    rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    rows: list[tuple[np.ndarray, ...]] = []
 
-    def add(no: np.ndarray, keys: np.ndarray, seen: np.ndarray | int = 0, near: np.ndarray | int = 0) -> None:
-        rows.append((keys, no, np.broadcast_to(np.asarray(seen, np.int64), keys.shape),
-                     np.broadcast_to(np.asarray(near, np.int64), keys.shape)))
+    def add(no: np.ndarray, keys: np.ndarray, seen=0, near=0, word=-1, literal=-1) -> None:
+        rows.append((keys, no, *(np.broadcast_to(np.asarray(x, np.int64), keys.shape) for x in (seen, near, word, literal))))
 
     words = watch.words
     no, bit = np.array([w[0] for w in words], np.int32), np.array([1 << w[1] for w in words], np.int64)
     lengths = np.array([len(w[2]) for w in words], np.int64)
     for tag, size, which in (("gram", GRAM, lengths >= GRAM), ("start", SHORT, lengths < GRAM)):
         add(no[which], text_keys([w[2][:size] for w, k in zip(words, which) if k], tag), bit[which])
-    for gone in (1, 2):
-        which = np.flatnonzero([edits(n) == gone for n in lengths])
-        row, keys = near_keys([words[i][2] for i in which], gone)
-        add(no[which[row]], keys, 0, bit[which[row]])
-    written = [(n, f) for n, d in watch.domains if "." in d for f in (d, d.replace(".", "-"))]
-    add(np.array([n for n, _ in written], np.int32), text_keys([f[:GRAM] for _, f in written], "gram"))
+    allowed = np.array([edits(n) for n in lengths], np.int64)
+    which = np.flatnonzero(allowed == 1)
+    row, keys = near_keys([words[i][2] for i in which])
+    add(no[which[row]], keys, 0, bit[which[row]])
+    long = np.flatnonzero(allowed == 2)
+    row, keys = part_keys([words[i][2] for i in long])
+    add(no[long[row]], keys, 0, bit[long[row]], row)
+    own = [(n, f) for n, d in watch.domains if "." in d for f in (d, d.replace(".", "-"))]
+    add(np.array([n for n, _ in own], np.int32), text_keys([f[:GRAM] for _, f in own], "gram"))
     add(np.array([n for n, _ in watch.names], np.int32), text_keys([r for _, r in watch.names], "name"))
-    spec_keys = np.concatenate([r[0] for r in rows])
-    patterns = np.array([no for no, _ in watch.patterns], np.int64)
-    add(patterns, (-1 - patterns).view(np.uint64))
-    key, owner, seen, near = (np.concatenate(c) for c in zip(*rows))
-    table = pa.table({"key": pa.array(key.view(np.int64)), "watch_no": pa.array(owner.astype(np.int32)),
-                      "seen": pa.array(seen), "near": pa.array(near)})
-
-    def fit(gone: int) -> tuple[int, int] | None:
-        near_lengths = [int(n) for n in lengths if edits(n) == gone]
-        return (max(4, min(near_lengths) - 1), max(near_lengths) + gone) if near_lengths else None
-
-    sizes = {min(len(f), GRAM) for _, f in written} | ({GRAM} if (lengths >= GRAM).any() else set())
-    spec = KeySpec(tuple(sorted(sizes)), bool((lengths < GRAM).any()), fit(1), fit(2), *bitmap(spec_keys))
-    return table, spec
-
-
-def _pattern_keys(watch: PinnedWatchlist) -> Column:
-    """Keys of the patterns a name matches, as ASCII or as shown."""
+    literals = [(n, text) for n, p in watch.patterns for text in required(p) or ()]
+    add(np.array([n for n, _ in literals], np.int32), text_keys([t[:GRAM] for _, t in literals], "literal"), literal=np.arange(len(literals)))
+    key, owner, seen, near, word, literal = (np.concatenate(c) for c in zip(*rows))
+    order = np.argsort(key, kind="stable")
+    short = lengths[allowed == 1]
+    sizes = {min(len(f), GRAM) for _, f in own} | ({GRAM} if (lengths >= GRAM).any() else set())
+    return KeySpec(
+        tuple(sorted(sizes)), bool((lengths < GRAM).any()), (max(4, int(short.min()) - 1), int(short.max()) + 1) if len(short) else None,
+        tuple(sorted({int(n) for n in lengths[long]})), tuple(sorted({min(len(t), GRAM) for _, t in literals})),
+        key[order], owner[order].astype(np.int32), seen[order], near[order], word[order], literal[order],
+        tuple(words[i][2] for i in long), tuple(t for _, t in literals), *bitmap(key))
+
+
+def _everywhere(watch: PinnedWatchlist) -> list[Column]:
+    """Proposals of the patterns that need no literal, so that every name has to be tried."""
     raw, shown = F.col("raw"), F.col("shown")
-    hits = [F.when(raw.rlike("(?iu)" + p) | F.coalesce(shown.rlike("(?iu)" + p), F.lit(False)), F.lit(_pattern_key(no)))
-            for no, p in watch.patterns]
-    return (F.array_compact(F.array(*hits)) if hits else F.array()).cast("array<bigint>")
-
-
-def _pattern_key(no: int) -> int:
-    return -1 - no
+    zero = F.lit(0).cast("bigint")
+    return [F.when(raw.rlike("(?iu)" + p) | F.coalesce(shown.rlike("(?iu)" + p), F.lit(False)),
+                   F.struct(F.lit(no).alias("watch_no"), zero.alias("seen"), zero.alias("near")))
+            for no, p in watch.patterns if required(p) is None]
 
 
 # --- rows --------------------------------------------------------------------
@@ -116,26 +112,17 @@ def _own(text: Column) -> Column:
 
 
 def candidates(names: DataFrame, watch: PinnedWatchlist, keys: list[str], own_on_raw: bool) -> DataFrame:
-    """One row per name and entry worth scoring, the entry's own names left out."""
-    spark = names.sparkSession
-    table, spec = watch_keys(watch)
-    proposals = spark.createDataFrame(table)
-    if table.num_rows <= BROADCAST_KEYS:
-        proposals = F.broadcast(proposals)
+    """A row for each row of names and entry worth scoring, the entry's own names left out; nothing is shuffled."""
+    spec = watch_keys(watch)
     own = F.broadcast(watch.table.select("watch_no", "own"))
     swap_l, swap_i, plain = F.col("swap_l"), F.col("swap_i"), F.col("plain")
     # Empty where a form adds nothing; the Arrow step then skips it.
-    keyed = prepare(names).withColumn("keys", name_keys(spec)(
-        plain, F.when(swap_l != plain, swap_l), F.when(swap_i != swap_l, swap_i), F.col("part_name"), F.col("pieces")))
+    found = prepare(names).withColumn("found", name_proposals(spec)(
+        plain, F.when(swap_l != plain, swap_l), F.when(swap_i != swap_l, swap_i), F.col("part_name"), F.col("pieces"), F.col("raw"), F.col("shown")))
     text = F.col("raw" if own_on_raw else "plain").alias("own_text")
-    every = F.concat("keys", _pattern_keys(watch)) if watch.patterns else F.col("keys")
-    return (
-        keyed.select(*keys, "domain", text, F.explode(every).alias("key"))
-        .join(proposals, "key")
-        .join(own, "watch_no").filter(~_own(F.col("own_text")))
-        .groupBy(*keys, "domain", "watch_no")
-        .agg(F.bit_or("seen").alias("seen"), F.bit_or("near").alias("near"))
-    )
+    others = _everywhere(watch)
+    every = F.concat("found", F.array_compact(F.array(*others))) if others else F.col("found")
+    return found.select(*keys, "domain", text, F.inline(every)).join(own, "watch_no").filter(~_own(F.col("own_text"))).drop("own", "own_text")
 
 
 # --- evidence ----------------------------------------------------------------
@@ -345,8 +332,10 @@ def detect(names: DataFrame, watch: CompiledWatchlist | PinnedWatchlist, keys: t
     if pinned.empty:
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema.fields if f.name in keys)
         return names.sparkSession.createDataFrame([], f"{kept + ', ' if kept else ''}{FINDING}")
+    # Read by the scoring and by the rows that get its findings.
+    proposed = written(candidates(names.select(*keys, "domain"), pinned, keys, own_on_raw))
     # Each distinct name is scored once; rows of the same name share its findings.
-    rows = candidates(names.select("domain"), pinned, [], own_on_raw)
+    rows = proposed.groupBy("domain", "watch_no").agg(F.bit_or("seen").alias("seen"), F.bit_or("near").alias("near"))
     rows = prepare(rows.join(F.broadcast(pinned.table), "watch_no"))
     found = []
     if pinned.words or pinned.domains:
@@ -358,7 +347,7 @@ def detect(names: DataFrame, watch: CompiledWatchlist | PinnedWatchlist, keys: t
         return scored.drop("watch_no")
     # One row per name and entry on the scored side: a name that fills the
     # other side is split by adaptive skew handling.
-    placed = candidates(names.select(*keys, "domain"), pinned, keys, own_on_raw).select(*keys, "domain", "watch_no")
+    placed = proposed.select(*keys, "domain", "watch_no").distinct()
     joined = placed.join(scored, ["domain", "watch_no"])
     return joined.select(*keys, *[c for c in scored.columns if c != "watch_no"])
 
