@@ -44,21 +44,28 @@ def triage_events(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("error is null").drop("error"), checked.filter("error is not null")
 
 
+def _mark_order(triage: DataFrame) -> Column:
+    """Marks in order: by time, those of one instant by ``seq``, or by what they say where there is none."""
+    return F.struct("at", "seq") if "seq" in triage.columns else F.struct("at", F.coalesce("status", F.lit("")), F.coalesce("note", F.lit("")))
+
+
 def silence(findings: DataFrame, triage: DataFrame) -> DataFrame:
     """Spans in which a false positive keeps its key quiet, per key.
 
-    A span runs from the mark to the alert's next status change.
+    A span runs from the mark to the alert's next status change; of several marks
+    at one instant the last decides (see ``seq`` of ``triage``).
     """
     own = (
         findings.select(F.col("watch.id").alias("watch_id"), "domain", F.unix_micros("seen").alias("anchor")).distinct()
         .withColumn("id", alert_id(F.col("watch_id"), F.col("domain"), F.col("anchor")))
     )
-    until = F.lead(F.unix_micros("at")).over(W.partitionBy("id").orderBy("at", "status"))
+    marks = triage.filter("status is not null")
+    until = F.lead(F.unix_micros("at")).over(W.partitionBy("id").orderBy(_mark_order(marks)))
     marked = (
-        triage.filter("status is not null")
+        marks
         .withColumn("to", F.coalesce(until, F.lit((1 << 62)).cast("bigint")))
         .filter("status = 'false_positive'")
-        .select("id", F.unix_micros("at").alias("from"), "to")
+        .select("id", F.unix_micros("at").alias("from"), "to").filter("`from` < `to`")
     )
     return own.join(marked, "id").groupBy("watch_id", "domain").agg(
         F.array_sort(F.collect_list(F.struct("anchor", "from", "to"))).cast(PAUSES).alias("pauses"))
@@ -81,7 +88,8 @@ def record_alerts(findings: DataFrame, triage: DataFrame | None = None, window:
 
     A finding of a key (entry and name) repeats the key's latest alert while
     that alert is younger than ``window`` or marked a false positive; otherwise
-    it raises a new one. Repeats never change what the alert says.
+    it raises a new one. Repeats never change what the alert says. ``triage`` (id, at,
+    status, note) may have ``seq``, which puts marks of one instant in order, as in the stream.
     """
     body = [F.col(c) if c in findings.columns else F.lit(None).cast("string").alias(c) for c in _BODY]
     counted = (
@@ -94,9 +102,10 @@ def record_alerts(findings: DataFrame, triage: DataFrame | None = None, window:
     if triage is None:
         settled = alerts.withColumn("status", F.lit("new")).withColumn("note", F.lit("")).withColumn("updated_at", F.col("created_at"))
     else:
+        order_ = _mark_order(triage)
         latest = triage.groupBy("id").agg(
-            F.max_by("status", F.when(F.col("status").isNotNull(), F.col("at"))).alias("status"),
-            F.max_by("note", F.when(F.col("note").isNotNull(), F.col("at"))).alias("note"), F.max("at").alias("updated_at"))
+            F.max_by("status", F.when(F.col("status").isNotNull(), order_)).alias("status"),
+            F.max_by("note", F.when(F.col("note").isNotNull(), order_)).alias("note"), F.max("at").alias("updated_at"))
         settled = alerts.join(latest, "id", "left").withColumns({
             "status": F.coalesce("status", F.lit("new")), "note": F.coalesce("note", F.lit("")),
             "updated_at": F.coalesce("updated_at", "created_at")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.der import outline_udf
+from ..functions.der_columns import outline_udf
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 NAME_ORDER = ("C", "ST", "L", "O", "OU", "CN", "emailAddress")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.render import tile_url
@@ -83,18 +83,43 @@ def plan_pages(positions: DataFrame, page: int = 256, in_flight: int = 4) -> Dat
         "log_url", "start", (F.col("_stop") - 1).alias("end"))
 
 
-def positions(entries: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """The next index to read per log: behind the last entry, but never beyond a hole.
+def declared_jumps(started: DataFrame) -> DataFrame:
+    """The stretches that ``start_positions`` jumped over: log_url, from, to (exclusive)."""
+    return started.filter("skipped > 0").select("log_url", (F.col("next_index") - F.col("skipped")).alias("from"), F.col("next_index").alias("to"))
 
-    A hole is a tile (``n`` of ``rejected``) that was not accepted, or a tile-wide
-    stretch of indices of which nothing was read between two that were.
+
+def positions(entries: DataFrame, rejected: DataFrame | None = None, jumps: DataFrame | None = None) -> DataFrame:
+    """The next index to read per log: where what was read without a gap ends.
+
+    What was read is a union of ranges: tile-wide stretches of which an entry was read, and
+    ``jumps`` (log_url, from, to), which were passed over on purpose. A tile of ``rejected`` (log_url, n)
+    is read up to the last entry that there is of it, so one that was accepted in another attempt is
+    no gap. The first gap is the least end of a range at which no other goes on; ends
+    and beginnings meet in joins, and no log's ranges meet in one place.
     """
     wide = fv.TILE_WIDTH
-    whole = entries.groupBy("log_url").agg((F.max("index") + 1).alias("next_index"))
-    tiles = entries.select("log_url", F.floor(F.col("index") / wide).alias("n")).distinct()
-    after = F.lead("n").over(W.partitionBy("log_url").orderBy("n"))
-    holes = tiles.withColumn("_after", after).filter("_after > n + 1").select("log_url", ((F.col("n") + 1) * wide).alias("hole"))
-    if rejected is not None:
-        holes = holes.unionByName(rejected.select("log_url", (F.col("n") * wide).cast("bigint").alias("hole")))
-    first = holes.groupBy("log_url").agg(F.min("hole").alias("hole"))
-    return whole.join(first, "log_url", "full").select("log_url", F.least("next_index", "hole").alias("next_index"))
+    tiles = entries.groupBy("log_url", F.floor(F.col("index") / wide).alias("n")).agg((F.max("index") + 1).alias("upto"))
+    begin, end = F.col("n") * wide, (F.col("n") + 1) * wide
+    if rejected is None:
+        ranges = tiles.select("log_url", "n", "upto", F.lit(False).alias("_cut"))
+    else:
+        bad = rejected.select("log_url", F.col("n").cast("bigint").alias("n")).distinct().withColumn("_bad", F.lit(True))
+        both = tiles.join(bad, ["log_url", "n"], "full")
+        cut = F.col("_bad").isNotNull() & (F.coalesce("upto", begin) < end)
+        ranges = both.select("log_url", "n", "upto", cut.alias("_cut"))
+    # Where each range ends; one that was cut goes no further than its last entry.
+    ranges = ranges.withColumn("end", F.when(F.col("_cut"), F.coalesce("upto", begin)).otherwise(end))
+    following = ranges.filter("upto IS NOT NULL OR NOT _cut").select("log_url", (F.col("n") * wide).alias("end"))
+    open_ = ranges.filter("_cut").select("log_url", "end").unionByName(ranges.filter("NOT _cut").select("log_url", "end").join(following, ["log_url", "end"], "left_anti"))
+    last = ranges.groupBy("log_url").agg(F.max("upto").alias("last"))
+    if jumps is not None:
+        leaps = jumps.select("log_url", F.col("from").alias("_from"), F.col("to").alias("_to")).filter("_from < _to").distinct()
+        # A leap leads on where a range that was read, or another leap, holds its end.
+        held = ranges.select("log_url", F.col("n").alias("_n"), F.col("end").alias("_end"))
+        reached = leaps.withColumn("_n", F.floor(F.col("_to") / wide)).join(held, ["log_url", "_n"], "left")
+        ends = open_.unionByName(reached.filter("_end IS NULL OR _to >= _end").select("log_url", F.col("_to").alias("end")))
+        over = (ends["log_url"] == leaps["log_url"]) & (F.col("_from") <= F.col("end")) & (F.col("end") < F.col("_to"))
+        open_ = ends.join(leaps, over, "left_anti")
+        last = last.join(leaps.groupBy("log_url").agg(F.max("_to").alias("_leapt")), "log_url", "full").select("log_url", F.greatest("last", "_leapt").alias("last"))
+    first = open_.groupBy("log_url").agg(F.min("end").alias("gap"))
+    return last.join(first, "log_url", "full").select("log_url", F.least("last", "gap").alias("next_index"))

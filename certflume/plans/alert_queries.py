@@ -78,6 +78,24 @@ def triaged(spark, folder):
     return A.record_alerts(findings(spark, folder), valid, order=("event_id",)).select("id", "count", "status", "note")
 
 
+@query("alerts_tied_triage", f"""WITH RECURSIVE {_KEYED_SQL}, {anchored_sql('keyed', 'key', 'seen', 1440)},
+silent AS (SELECT k, rn, us, us AS anchor FROM ord WHERE rn = 1
+  UNION ALL SELECT o.k, o.rn, o.us, CASE WHEN o.us - w.anchor < 24 * {_HOUR} OR (w.anchor % 2 = 0 AND o.us >= w.anchor + {_HOUR}) THEN w.anchor ELSE o.us END
+  FROM silent w JOIN ord o ON o.k = w.k AND o.rn = w.rn + 1)
+SELECT {_ID} AS id, count(*) AS count, CASE WHEN anchor % 2 = 0 THEN 'false_positive' ELSE 'resolved' END AS status,
+  CASE WHEN anchor % 2 = 0 THEN 'first' ELSE 'second' END AS note FROM silent GROUP BY k, anchor""")
+def tied(spark, folder):
+    """Every alert gets both marks an hour after it opened; which of them is the second follows from its start."""
+    rows = findings(spark, folder)
+    opened = rows.select(F.col("watch.id").alias("w"), "domain", "seen").distinct()
+    even = F.unix_micros("seen") % 2 == 0
+    marks = F.array(*[F.struct(F.lit(s).alias("status"), F.when(even if s == "resolved" else ~even, 1).otherwise(2).alias("seq")) for s in ("resolved", "false_positive")])
+    triage = opened.select(A.alert_id(F.col("w"), F.col("domain"), F.unix_micros("seen")).alias("id"), (F.col("seen") + F.expr("interval 1 hour")).alias("at"), F.inline(marks))
+    # Only resolved ones say something.
+    noted = triage.withColumn("note", F.when(F.col("status") == "resolved", F.when(F.col("seq") == 1, "first").otherwise("second")))
+    return A.record_alerts(rows, noted, order=("event_id",)).select("id", "count", "status", "note")
+
+
 def _events(spark, folder):
     """An event log per user: the sign-up is the alert, later events change it."""
     events = table(spark, folder, "events")

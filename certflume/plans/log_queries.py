@@ -119,6 +119,48 @@ def positions(spark, folder):
     return L.positions(table(spark, folder, "events").select(F.col("event_type").alias("log_url"), F.col("event_id").alias("index")))
 
 
+# Tiles of every log in two attempts; of those rejected at first some are accepted later, others are read in part.
+_RETRY_SQL = """read AS (SELECT event_type AS log_url, event_id AS i, event_id // 256 AS n FROM events WHERE NOT (event_id // 256 % 7 = 3 AND event_id // 256 % 2 = 0)
+  AND NOT (event_id // 256 % 11 = 5 AND event_id % 256 > 100)),
+bad AS (SELECT DISTINCT event_type AS log_url, event_id // 256 AS n FROM events WHERE event_id // 256 % 7 = 3 OR event_id // 256 % 11 = 5)"""
+
+
+def _retried(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("log_url"), F.col("event_id").alias("index"), F.floor(F.col("event_id") / 256).alias("n"))
+    rejected = rows.filter("n % 7 = 3 OR n % 11 = 5").select("log_url", "n").distinct()
+    return rows.filter("NOT (n % 7 = 3 AND n % 2 = 0) AND NOT (n % 11 = 5 AND index % 256 > 100)").drop("n"), rejected
+
+
+# Every index below the position is in a tile of which something was read, and which is whole or was never rejected.
+@query("positions_after_retry", f"""WITH {_RETRY_SQL},
+t AS (SELECT coalesce(r.log_url, b.log_url) AS log_url, coalesce(r.n, b.n) AS n, upto, b.n IS NOT NULL AND coalesce(upto, 0) < (coalesce(r.n, b.n) + 1) * 256 AS cut
+  FROM (SELECT log_url, n, max(i) + 1 AS upto FROM read GROUP BY 1, 2) r FULL JOIN bad b ON b.log_url = r.log_url AND b.n = r.n),
+o AS (SELECT *, CASE WHEN cut THEN coalesce(upto, n * 256) ELSE (n + 1) * 256 END AS stop, lead(n) OVER w AS next, lead(upto) OVER w AS next_upto,
+  max(upto) OVER (PARTITION BY log_url) AS last FROM t WINDOW w AS (PARTITION BY log_url ORDER BY n))
+SELECT log_url, least(max(last), min(stop)) AS next_index FROM o WHERE cut OR next IS NULL OR next <> n + 1 GROUP BY log_url""")
+def after_retry(spark, folder):
+    return L.positions(*_retried(spark, folder))
+
+
+# Logs that stopped in the middle and went on further up: at the jump that was declared, or not.
+@query("positions_after_jump", """WITH read AS (SELECT event_type AS log_url, event_id AS i, max(event_id) OVER (PARTITION BY event_type) AS top FROM events),
+two AS (SELECT log_url, i, top FROM read WHERE i < top // 3 OR i >= 2 * (top // 3)),
+t AS (SELECT DISTINCT log_url, i // 256 AS n FROM two),
+o AS (SELECT *, lead(n) OVER (PARTITION BY log_url ORDER BY n) AS next FROM t),
+j AS (SELECT DISTINCT log_url, top // 3 - 10 AS a, 2 * (top // 3) AS b FROM two WHERE log_url <> 'error'),
+g AS (SELECT o.log_url, min((n + 1) * 256) AS gap FROM o LEFT JOIN j ON j.log_url = o.log_url AND (n + 1) * 256 >= a AND (n + 1) * 256 < b
+  WHERE (next IS NULL OR next <> n + 1) AND j.log_url IS NULL GROUP BY 1),
+m AS (SELECT log_url, max(i) + 1 AS last FROM two GROUP BY 1)
+SELECT m.log_url, least(last, gap) AS next_index FROM m LEFT JOIN g ON g.log_url = m.log_url""")
+def after_jump(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("log_url"), F.col("event_id").alias("index"))
+    third = F.floor(F.col("top") / 3)
+    tops = rows.groupBy("log_url").agg(F.max("index").alias("top"))
+    two = rows.join(tops, "log_url").filter((F.col("index") < third) | (F.col("index") >= 2 * third)).drop("top")
+    jumps = tops.filter("log_url <> 'error'").select("log_url", (third - 10).alias("from"), (2 * third).alias("to"))
+    return L.positions(two, jumps=jumps)
+
+
 @query("parse_tree_heads", """SELECT o_orderkey, o_custkey AS tree_size, o_orderkey * 1000 AS timestamp, 32 AS root_bytes, '' AS error FROM orders
 UNION ALL SELECT -o_orderkey - 1, NULL, NULL, NULL, 'a tree head without tree_size' FROM orders""")
 def sth(spark, folder):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +47,31 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The frame as it is now, from a copy in the folder of ``spark.checkpoint.dir``.
+def scratch(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    For what several later steps read and is dear to make; a folder of our own
-    is taken only where that setting is missing.
+    A folder of our own is taken only where that is unset and Spark is one process.
     """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="certflume-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as it is now, from a copy in the folder of ``spark.checkpoint.dir``; for what
+    several later steps read and is dear to make."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="certflume-"))
+        context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """The same as Parquet: smaller for rows with much in them, and made in one pass, so that what is
+    observed of them is counted once."""
+    folder = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

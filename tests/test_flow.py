@@ -4,9 +4,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from certflume.functions.der import LeafError, cert_list, leaf_index, outline, seconds, tile_records
-from certflume.operators.alerts import alert_state, list_alerts
+from certflume.operators.alerts import alert_id, alert_state, list_alerts, record_alerts
 from certflume.operators.certificates import resolve_chains
-from certflume.operators.logs import positions, start_positions
+from certflume.operators.logs import declared_jumps, positions, start_positions
 from certflume.operators.search import search
 from certflume.sources.entries import decode_rfc6962, read_tiles, union_entries, with_plan
 from certflume.sources.files import read_alert_events
@@ -23,6 +23,31 @@ def test_positions_stop_at_holes_and_rejected_tiles(spark):
     assert got == {"gap": 256, "whole": 301, "bad": 256, "never": 7 * 256}
 
 
+def test_positions_go_on_after_retries_and_declared_jumps(spark):
+    rows = [("retried", i) for i in range(768)] + [("part", i) for i in range(300)] + [("jump", i) for i in [*range(300), *range(10_000, 10_300)]] + [("leap", i) for i in range(20)]
+    entries = spark.createDataFrame(rows, "log_url string, index bigint")
+    rejected = spark.createDataFrame([("retried", 1), ("part", 1)], "log_url string, n bigint")
+    jumps = spark.createDataFrame([("jump", 300, 5_000), ("jump", 4_000, 10_000), ("leap", 10, 900), ("only", 0, 77), ("only", 0, 0)], "log_url string, `from` bigint, `to` bigint")
+    got = {r.log_url: r.next_index for r in positions(entries, rejected, jumps).collect()}
+    assert got == {"retried": 768, "part": 300, "jump": 10_300, "leap": 900, "only": 77}
+    assert {r.log_url: r.next_index for r in positions(entries, rejected).collect()}["jump"] == 512
+    started = spark.createDataFrame([("a", 900, 900, 100), ("b", 5, 5, 0)], "log_url string, tree_size bigint, next_index bigint, skipped bigint")
+    assert [tuple(r) for r in declared_jumps(started).collect()] == [("a", 800, 900)]
+
+
+def test_marks_of_one_instant_follow_their_numbers(spark):
+    """The later of two marks at one instant decides, in the state, in what stays quiet and in the stream."""
+    day = 86_400
+    rows = [(("w", "W", "brand"), d, 70, "medium", i, t) for d in ("x", "y") for i, t in enumerate((0, 2 * day))]
+    findings = spark.createDataFrame(rows, "watch struct<id:string,name:string,kind:string>, domain string, score int, severity string, seq bigint, t bigint").withColumn("seen", F.timestamp_seconds("t"))
+    first = {d: spark.range(1).select(alert_id(F.lit("w"), F.lit(d), F.lit(0).cast("bigint"))).first()[0] for d in ("x", "y")}
+    marks = [(first["x"], 100, "false_positive", None, 1), (first["x"], 100, "resolved", "done", 2), (first["y"], 100, "resolved", "a", 1), (first["y"], 100, "false_positive", None, 2)]
+    for order in (marks, marks[::-1]):
+        triage = spark.createDataFrame(order, "id string, at_s bigint, status string, note string, seq bigint").withColumn("at", F.timestamp_seconds("at_s"))
+        got = sorted((r.domain, r["count"], r.status, r.note) for r in record_alerts(findings, triage, order=("seq",)).collect())
+        assert got == [("x", 1, "new", ""), ("x", 1, "resolved", "done"), ("y", 2, "false_positive", "a")]
+
+
 def test_nothing_is_skipped_unless_asked(spark):
     lagging = spark.createDataFrame([("a", 900_000, 1)], "log_url string, tree_size bigint, next_index bigint")
     assert tuple(start_positions(lagging).first()) == ("a", 900_000, 1, 0)
