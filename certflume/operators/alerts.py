@@ -249,6 +249,33 @@ def alerts_csv_lines(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.concat_ws(",", *[csv_field(values[c]) for c in fv.CSV_COLUMNS]).alias("line"))
 
 
+def alerts_csv_text(alerts: DataFrame) -> DataFrame:
+    """The export as (place, line): the header as place 0, then the alerts, newest first; lines end with CR and LF."""
+    ordered = alerts_csv_lines_placed(alerts)
+    header = alerts.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("place"), F.lit(",".join(fv.CSV_COLUMNS) + "\r\n").alias("line"))
+    return header.unionByName(ordered.select("place", F.concat("line", F.lit("\r\n")).alias("line")))
+
+
+def alerts_csv_lines_placed(alerts: DataFrame) -> DataFrame:
+    """Lines with their places from 1, newest alert first: places are counted by days, not in one window over all alerts."""
+    values = _csv_values(alerts)
+    line = F.concat_ws(",", *[csv_field(values[c]) for c in fv.CSV_COLUMNS])
+    rows = alerts.select(F.to_date("created_at").alias("_day"), "created_at", "id", line.alias("line"))
+    # As many rows as there are days; the sum over them is one small window.
+    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = days.select("_day", (F.sum("_n").over(W.orderBy(F.col("_day").desc())) - F.col("_n")).alias("_before"))
+    in_day = F.row_number().over(W.partitionBy("_day").orderBy(F.col("created_at").desc(), F.col("id").desc()))
+    return rows.withColumn("_at", in_day).join(F.broadcast(before), "_day").select((F.col("_before") + F.col("_at")).alias("place"), "line")
+
+
+def retain(alerts: DataFrame, keep: int) -> DataFrame:
+    """The newest `keep` alerts, by when they opened; what is older is forgotten, and may be raised anew."""
+    place = F.struct("created_at", "id")
+    # Two columns of `keep` rows at most are sorted to find the last place that stays.
+    edge = alerts.select(place.alias("p")).orderBy(F.col("p").desc()).limit(keep).agg(F.min("p").alias("_edge"))
+    return alerts.join(F.broadcast(edge), place >= F.col("_edge")).drop("_edge")
+
+
 def write_alerts_csv(alerts: DataFrame, path: str) -> None:
     (alerts_csv(alerts).write.option("header", True).option("lineSep", "\r\n").option("quote", '"')
      .option("escape", '"').option("emptyValue", "").mode("overwrite").csv(path))
@@ -259,9 +286,9 @@ def parse_hook(spec: str) -> dict[str, str]:
     head, _, rest = spec.partition(":")
     form, url = (head, rest) if head in ("json", "text") and rest else ("json", spec)
     if not re.match(r"^[A-Za-z][A-Za-z0-9+.\-]*:", url):
-        raise ValueError(f"not a webhook URL: {spec}")
+        raise ValueError(f"no address to post to: {spec}")
     if not re.match(r"^https?://[^/?#]", url):
-        raise ValueError(f"a webhook must use http or https: {spec}")
+        raise ValueError(f"only http and https addresses are posted to, not {spec}")
     return {"format": form, "url": url}
 
 

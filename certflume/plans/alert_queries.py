@@ -176,19 +176,44 @@ def csv(spark, folder):
     return A.alerts_csv_lines(A.alert_state(_events(spark, folder)))
 
 
-@query("outbox", f"""WITH {_STATE_SQL}, b AS (SELECT id, '{{"text":"[' || severity || '] ' || domain || ' looks like A, \\"B\\", score ' || CAST(score AS VARCHAR) ||
-  ' (keyword, lure-word), issued by ' || issuer || '"}}' AS body FROM state WHERE severity <> 'low')
-SELECT id, body, 'sha256=' || sha256(unhex('{(bytes(x ^ 0x5C for x in b"k".ljust(64, bytes(1)))).hex()}') || unhex(sha256(unhex('{(bytes(x ^ 0x36 for x in b"k".ljust(64, bytes(1)))).hex()}') || encode(body)))) AS signature FROM b""")
+@query("alerts_csv_text", f"""WITH {_STATE_SQL}, lines AS (SELECT row_number() OVER (ORDER BY created_us DESC, id DESC) AS place, strftime(created_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(created_at) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z,' ||
+  strftime(last_seen, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(last_seen) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z,' || CAST(count AS VARCHAR) || ',' || status || ',' ||
+  severity || ',' || CAST(score AS VARCHAR) || ',' || domain || ',,' || chr(34) || 'A, ' || chr(34) || chr(34) || 'B' || chr(34) || chr(34) || chr(34) || ',keyword lure-word,' || chr(39) || issuer || ',log,' || CAST(base AS VARCHAR) || ',' || note AS line FROM state)
+SELECT place, line || chr(13) || chr(10) AS line FROM lines UNION ALL
+SELECT 0, 'created_at,last_seen,count,status,severity,score,domain,unicode,watch,reasons,issuer,log,cert_index,note' || chr(13) || chr(10)""")
+def csv_text(spark, folder):
+    return A.alerts_csv_text(A.alert_state(_events(spark, folder)))
+
+
+@query("alerts_retained", f"WITH {_STATE_SQL} SELECT id, created_us FROM state ORDER BY created_us DESC, id DESC LIMIT 25")
+def retained(spark, folder):
+    return A.retain(A.alert_state(_events(spark, folder)), 25).select("id", F.unix_micros("created_at").alias("created_us"))
+
+
+_STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us({0}) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'"
+_SIGNED = f"""'sha256=' || sha256(unhex('{(bytes(x ^ 0x5C for x in b"k".ljust(64, bytes(1)))).hex()}') || unhex(sha256(unhex('{(bytes(x ^ 0x36 for x in b"k".ljust(64, bytes(1)))).hex()}') || encode(body))))"""
+
+
+@query("outbox", f"""WITH {_STATE_SQL}, more AS (SELECT s.*, d.ts AS dns_at, u.ts AS changed_at FROM state s LEFT JOIN folded f ON f.user_id = s.user_id LEFT JOIN events d ON d.event_id = f.last_dns LEFT JOIN events u ON u.event_id = f.last_status),
+b AS (SELECT id, 'text' AS format, '{{"text":"[' || severity || '] ' || domain || ' looks like A, \\"B\\", score ' || CAST(score AS VARCHAR) ||
+  ' (keyword, lure-word), issued by ' || issuer || '"}}' AS body FROM state WHERE severity <> 'low'
+UNION ALL SELECT id, 'json', '{{"event":"alert","alert":{{"id":"' || id || '","created_at":"' || {_STAMP.format('created_at')} || '","last_seen":"' || {_STAMP.format('last_seen')} || '","updated_at":"' || {_STAMP.format('coalesce(changed_at, created_at)')} ||
+  '","count":' || CAST(count AS VARCHAR) || ',"status":"' || status || '","note":"' || note || '","severity":"' || severity || '","score":' || CAST(score AS VARCHAR) || ',"reasons":["keyword","lure-word"],"domain":"' || domain ||
+  '","unicode":null,"watch":{{"id":"w","name":"A, \\"B\\"","kind":"brand"}},"cert":{{"issuer":"' || issuer || '","log":"log","cert_index":' || CAST(base AS VARCHAR) || '}},"dns":' ||
+  coalesce('{{"checked_at":"' || {_STAMP.format('dns_at')} || '","resolves":' || CAST(resolves AS VARCHAR) || ',"a":["192.0.2.1"],"aaaa":[],"error":null}}', 'null') || '}}}}' FROM more WHERE severity <> 'low')
+SELECT id, format, body, {_SIGNED} AS signature FROM b""")
 def outbox(spark, folder):
     rows = A.outbox(A.alert_state(_events(spark, folder)), ["text:https://hooks.example/t", "https://hooks.example/j"], "medium", "k")
-    return rows.filter("format = 'text'").select("id", "body", "signature")
+    return rows.select("id", "format", "body", "signature")
 
 
-@query("alert_dns", f"""WITH {_STATE_SQL}, a AS (SELECT user_id, arg_max(event_id, event_id) AS e FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+@query("alert_dns", f"""WITH {_STATE_SQL}, a AS (SELECT user_id, arg_max(event_id, event_id) AS e FROM events WHERE user_id % 3 > 0 GROUP BY user_id)
 SELECT id, coalesce(a.e % 2 = 1, resolves) AS resolves FROM state s LEFT JOIN a ON a.user_id = s.user_id""")
 def dns(spark, folder):
-    answers = table(spark, folder, "events").filter("event_type = 'purchase'").select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".test")).alias("name"), F.col("ts").alias("checked_at"),
+    # Every event is an answer; of every third user it is for another name, so their alerts keep what they had.
+    name = F.concat(F.when(F.col("user_id") % 3 > 0, "u").otherwise("x"), F.col("user_id").cast("string"), F.lit(".test"))
+    answers = table(spark, folder, "events").select(
+        name.alias("name"), F.col("ts").alias("checked_at"),
         F.when(F.col("event_id") % 2 == 1, F.array(F.lit("192.0.2.9"))).otherwise(F.array().cast("array<string>")).alias("a"),
         F.array().cast("array<string>").alias("aaaa"), F.lit(None).cast("string").alias("error"))
     return A.with_dns(A.alert_state(_events(spark, folder)), answers).select("id", F.col("dns.resolves").alias("resolves"))

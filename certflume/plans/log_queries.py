@@ -24,8 +24,8 @@ def _listed(spark, folder):
         F.concat((F.col("s_suppkey") % 7 + 2021).cast("string"), F.lit("-01-01T00:00:00Z")).alias("start_inclusive"),
         F.concat((F.col("s_suppkey") % 7 + 2022).cast("string"), F.lit("-01-01T00:00:00Z")).alias("end_exclusive")))
     url = F.concat(F.lit("https://log"), F.col("s_suppkey").cast("string"), F.lit(".example"))
-    # Ids repeat after 40, so later places in the document lose.
-    log = F.struct(F.col("s_name").alias("description"), (F.col("s_suppkey") % 40).cast("string").alias("log_id"), F.lit("k").alias("key"),
+    # Three suppliers share an id, so later places in the document lose.
+    log = F.struct(F.col("s_name").alias("description"), F.floor(F.col("s_suppkey") / 3).cast("string").alias("log_id"), F.lit("k").alias("key"),
                    url.alias("url"), F.lit(None).cast("string").alias("submission_url"), F.concat(url, F.lit("/mon/")).alias("monitoring_url"),
                    F.lit(86400).alias("mmd"), F.create_map(state, stamp).alias("state"), interval.alias("temporal_interval"))
     none = F.filter(F.array(log), lambda x: F.lit(False))
@@ -38,7 +38,7 @@ def _listed(spark, folder):
         F.transform("r", lambda x: x["op"]).alias("operators"))
 
 
-_SELECTED = """l AS (SELECT *, s_suppkey % 40 AS log_id, CASE WHEN s_suppkey % 4 = 1 THEN 'qualified' ELSE 'usable' END AS state,
+_SELECTED = """l AS (SELECT *, s_suppkey // 3 AS log_id, CASE WHEN s_suppkey % 4 = 1 THEN 'qualified' ELSE 'usable' END AS state,
   'https://log' || CAST(s_suppkey AS VARCHAR) || CASE WHEN s_suppkey % 2 = 0 THEN '.example/' ELSE '.example/mon/' END AS url FROM supplier
   WHERE s_suppkey % 4 <> 0 AND (s_suppkey % 3 <> 0 OR (s_suppkey % 7 + 2022 > 2024 AND s_suppkey % 7 + 2021 <= 2025))),
 f AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY s_suppkey) AS r FROM l)"""
@@ -63,11 +63,11 @@ def _heads(spark, folder):
 
 
 def _positions(spark, folder):
-    """Two thirds of the customers have a saved position."""
+    """Two thirds of the customers have a saved position, the others none yet."""
     c = table(spark, folder, "customer")
-    return c.filter(F.col("c_custkey") % 3 < 2).select(
+    return c.select(
         F.concat(F.lit("https://c"), F.col("c_custkey").cast("string"), F.lit(".example/")).alias("log_url"),
-        (F.col("c_custkey") * 97).alias("next_index"))
+        F.when(F.col("c_custkey") % 3 < 2, F.col("c_custkey") * 97).alias("next_index"))
 
 
 _LAG_SQL = """h AS (SELECT o_custkey AS c, max(o_orderkey) * 7 + 3 AS tree_size FROM orders GROUP BY 1),
@@ -194,7 +194,14 @@ def trusted(spark, folder):
     return parts[0].unionByName(parts[1])
 
 
-@query("order_logs", f"""WITH {_LAG_SQL} SELECT log_url, lag, CASE WHEN lag IS NULL THEN 'starting' WHEN lag % 2 = 0 THEN 'ok' ELSE 'backoff' END AS state FROM (SELECT log_url, tree_size - next_index AS lag FROM lagging) x""")
+@query("order_logs", f"""WITH {_LAG_SQL}, s AS (SELECT log_url, lag, CASE WHEN lag IS NULL THEN 'starting' WHEN lag % 2 = 0 THEN 'ok' ELSE 'backoff' END AS state FROM (SELECT log_url, tree_size - next_index AS lag FROM lagging) x)
+SELECT log_url, lag, state, dense_rank() OVER (ORDER BY CASE state WHEN 'backoff' THEN 1 WHEN 'starting' THEN 2 ELSE 3 END, coalesce(lag, 0) DESC) AS place FROM s""")
 def ordered(spark, folder):
     state = F.when(F.col("lag").isNull(), "starting").when(F.col("lag") % 2 == 0, "ok").otherwise("backoff")
-    return stats.order_logs(L.lag(_heads(spark, folder), _positions(spark, folder)).withColumn("state", state)).select("log_url", "lag", "state")
+    listed = stats.order_logs(L.lag(_heads(spark, folder), _positions(spark, folder)).withColumn("state", state)).select("log_url", "lag", "state")
+    # The order that the rows came in, written down: logs that are alike share a place.
+    rows = listed.collect()  # a row for each log that is read
+    places, placed = {}, []
+    for r in rows:
+        placed.append((r.log_url, r.lag, r.state, places.setdefault((r.state, r.lag or 0), len(places) + 1)))
+    return spark.createDataFrame(placed, "log_url string, lag bigint, state string, place bigint")

@@ -80,11 +80,11 @@ def certs(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(issuer.alias("issuer"), F.array("host", F.concat(F.lit("www."), "host")).alias("all_domains")).alias("parsed"))
 
 
-# Findings: one per event that is not an error, for the name of a user.
+# Findings: one per event, for the name of a user.
 FINDINGS_SQL = """findings AS (
   SELECT event_id, ts AS seen, 'w' || CAST(user_id % 3 AS VARCHAR) AS watch_id, 'u' || CAST(user_id AS VARCHAR) || '.test' AS domain,
          CAST(user_id * 7 % 60 + 41 AS INTEGER) AS score, 'Org ' || CAST(event_id % 10 AS VARCHAR) AS issuer
-  FROM events WHERE event_type <> 'error')"""
+  FROM events)"""
 
 
 def findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,7 +93,7 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
 
     score = (F.col("user_id") * 7 % 60 + 41).cast("int")
     watch = F.concat(F.lit("w"), (F.col("user_id") % 3).cast("string"))
-    return table(spark, folder, "events").filter("event_type <> 'error'").select(
+    return table(spark, folder, "events").select(
         F.struct(watch.alias("id"), F.concat(F.lit("Watch "), watch).alias("name"), F.lit("brand").alias("kind")).alias("watch"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".test")).alias("domain"),
         F.lit(None).cast("string").alias("unicode"), score.alias("score"), severity_of(score).alias("severity"),
