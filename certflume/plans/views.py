@@ -15,8 +15,12 @@ from ..session import configure
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     configure(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    # Stored without a zone; every session here runs in UTC.
-    return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
+    if name != "events":
+        return df
+    # Stored without a zone; every session here runs in UTC. The table is one file of one part, which no scan
+    # can split: its rows are dealt out where they land, so that what follows runs on all cores.
+    stamped = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stamped.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else stamped
 
 
 HOSTS_SQL = "hosts AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages)"

@@ -89,3 +89,30 @@ def test_files(spark, tmp_path):
     assert kinds == {"static": "https://log.example/2026/", "rfc6962": "https://ct.example/log/"}
     with pytest.raises(Exception, match="http"):
         custom_logs(spark, ["static:ftp://nope"]).collect()
+
+
+def test_sql_names(spark):
+    from certflume.sources.entries import tile_rows
+    from certflume.sources.sql import register
+
+    register(spark)
+    good = (7).to_bytes(8) + b"\x00\x00" + (3).to_bytes(3) + b"der" + b"\x00\x00" + b"\x00\x00"
+    rows = [("l", 3, 2, 0, good * 2), ("l", 4, 2, 1, good * 2), ("l", 5, 3, 0, good), ("l", 6, 1, 0, good[:-3]), ("l", 7, 0, 0, b""), ("l", 8, 1, 0, None)]
+    tiles = spark.createDataFrame(rows, "log_url string, n bigint, width int, skip int, content binary")
+    tiles.createOrReplaceTempView("some_tiles")
+    names = ["log_url", "index", "timestamp", "entry_type", "der", "chain_fps", "n", "error"]
+    by_sql = spark.sql("SELECT * FROM decode_tile(TABLE(SELECT * FROM some_tiles))").select(*names)
+    assert sorted(map(repr, by_sql.collect())) == sorted(map(repr, tile_rows(tiles).filter("error IS NOT NULL OR index IS NOT NULL").select(*names).collect()))
+    assert tuple(spark.sql("SELECT shown_domain('xn--mgbh0fb.example') AS a, fold_text('brötchén') AS b").first()) == ("مثال.example", "brotchen")
+
+
+def test_csv_files_have_header_and_line_ends(spark, tmp_path):
+    from certflume.operators.alerts import write_alerts_csv
+
+    alerts = spark.createDataFrame([("a_1", 0, 2, "new", "", "high", 90, ["x"], "d.test", "=1+1")], "id string, t bigint, count bigint, status string, note string, severity string, score int, reasons array<string>, domain string, w string").select(
+        "*", F.timestamp_seconds("t").alias("created_at"), F.timestamp_seconds("t").alias("last_seen"), F.lit(None).cast("string").alias("unicode"), F.struct(F.col("w").alias("name")).alias("watch"),
+        F.struct(F.lit('Org "A"').alias("issuer"), F.lit("log").alias("log"), F.lit(1).alias("cert_index")).alias("cert"))
+    write_alerts_csv(alerts.coalesce(1), str(tmp_path / "csv"))
+    text = b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("*.csv")).decode()
+    assert text.splitlines(keepends=True)[0] == "created_at,last_seen,count,status,severity,score,domain,unicode,watch,reasons,issuer,log,cert_index,note\r\n"
+    assert "'=1+1" in text and '"Org ""A"""' in text and text.count("\r\n") == 2
