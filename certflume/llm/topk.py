@@ -121,7 +121,7 @@ def _select(candidates: DataFrame, sent, dim: int, k: int) -> DataFrame:
 
         def cut() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             q, key, s = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.lexsort((key, -s, q))
+            order = np.lexsort((key, ~s, q))  # the negative of the least long is no long
             q, key, s = q[order], key[order], s[order]
             begin = np.searchsorted(q, q)
             keep = np.arange(len(q)) - begin < k
@@ -163,7 +163,10 @@ def top(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
         blocks = -(-asked // block)
         for b in range(blocks):
             part = own.where(F.col("asks") & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)).select("row", "v")
-            out = _block(own.select("row", "v", "vec_id"), part.orderBy("row").toArrow(), dim, k)
+            table = part.orderBy("row").toArrow()
+            if not table.num_rows:
+                continue
+            out = _block(own.select("row", "v", "vec_id"), table, dim, k)
             found = out if found is None else found.unionByName(out)
     if found is None:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
