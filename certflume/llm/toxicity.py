@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ SEEDS = {
 TERMS, GROUPS = 96, 5
 #: Further terms that only the classifier sees, at most.
 FEATURES = 256
+#: Labels (an id and a flag) that are broadcast at a time.
+LABEL_BLOCK = 1_000_000
 #: A learned term occurs in so many labelled documents at least.
 LEAST_DOCS = 5
 NAMES = [*SEEDS, *[f"learned{i}" for i in range(GROUPS)], "several", "dense", "none", "shouting"]
@@ -268,8 +271,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     small_batches(docs.sparkSession)
     may = docs.where(crc_mod(doc_id, 5) != 0).select(F.col(quoted(doc_id)).cast("long").alias("__id"), F.col(quoted(text)).cast("string").alias("t"))
     sample = F.broadcast(labelled_sample(labels, label, doc_id, rows))  # `rows` bounds it
-    # All labelled rows; Spark decides how to join them.
-    lex = lexicon(may.join(labelled_sample(labels, label, doc_id, None), "__id"), "t", terms, features)
+    # All labelled rows, LABEL_BLOCK or so at a time beside the texts, which stay where they are.
+    every = labelled_sample(labels, label, doc_id, None)
+    blocks = max(1, -(-every.count() // LABEL_BLOCK))
+    parts = [may.join(F.broadcast(every.where(F.pmod(F.xxhash64("__id"), F.lit(blocks)) == b)), "__id") for b in range(blocks)]
+    lex = lexicon(reduce(DataFrame.unionByName, parts), "t", terms, features)
     sent = shipped(docs.sparkSession, lex)
     digits = 3 ** np.arange(len(NAMES) + 1)
     found = patterns(may.join(sample, "__id", "left"), "t", sent).collect()  # 3 ** 13 rows at most
