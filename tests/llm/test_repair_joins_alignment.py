@@ -157,7 +157,6 @@ def test_grams_against_brute_force(spark, options):
 
 def test_grams_find_what_single_partners_miss(spark, monkeypatch):
     """Without the passes of single partners, all links come from comparing lists across components."""
-    monkeypatch.setattr(grams, "KINDS", 0)
     first = grams.first_pass
 
     def lists_only(percent):
