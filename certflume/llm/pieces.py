@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .frames import extend, partitions_for, quoted, saved, small_batches, struct, total_bytes, without
+from .frames import extend, partitions_for, quoted, releasing, saved, small_batches, struct, total_bytes, without
 from .text import CHECK_SEED, SEED, mix, range_hashes
 
 SPACE = "▁"
@@ -50,8 +50,9 @@ LONG_UNIT = 64
 NEVER = float("-inf")
 
 
-#: Nothing remembered yet: unit hashes, where their ids begin, ids, and a second hash of each. The one entry stands for no unit.
-EMPTY = np.array([(1 << 64) - 1], np.uint64), np.array([0, 0], np.int64), np.zeros(0, np.int32), np.zeros(1, np.uint64)
+#: Nothing remembered yet: sorted unit hashes, a second hash of each, where its ids begin and how many they are, and all ids as they came.
+#: The one entry stands for no unit.
+EMPTY = np.array([(1 << 64) - 1], np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(0, np.int32)
 
 
 class Model:
@@ -227,7 +228,7 @@ class Model:
         known = self._remembered[0]
         place = np.minimum(np.searchsorted(known, key), len(known) - 1)
         had = known[place] == key
-        if (check != check[one][back]).any() or (self._remembered[3][place[had]] != check[one][had]).any():
+        if (check != check[one][back]).any() or (self._remembered[1][place[had]] != check[one][had]).any():
             self._remembered, self._seed = EMPTY, int(mix(np.array([self._seed], np.uint64))[0])
             return self.encode_all(texts)
         new = np.flatnonzero(~had)
@@ -253,22 +254,21 @@ class Model:
         for i in np.flatnonzero(~plain).tolist():
             text = chars[b[i]:e[i]].tobytes().decode("utf-32-le", "surrogatepass")
             parts[i] = np.array(self.unit(text), np.int32)
-        known, at, flat, checks = self._remembered
-        length = np.array([len(x) for x in parts], np.int64)
-        keys, checks = np.concatenate([known, key[new]]), np.concatenate([checks, check[new]])
-        sizes = np.concatenate([np.diff(at), length])
-        starts = np.concatenate([at[:-1], len(flat) + np.cumsum(length) - length])
-        order = np.argsort(keys, kind="stable")
-        every = np.concatenate([flat, *parts]).astype(np.int32)
-        sizes, starts = sizes[order], starts[order]
-        total = np.r_[0, np.cumsum(sizes)]
-        self._remembered = keys[order], total, every[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])], checks[order]
+        known, checks, starts, sizes, flat = self._remembered
+        length = np.array([len(x) for x in parts], np.int32)
+        # The ids stay in the order in which they were learned: only what finds them is sorted.
+        starts = np.concatenate([starts, len(flat) + np.cumsum(length, dtype=np.int64) - length])
+        flat = np.concatenate([flat, *parts], dtype=np.int32, casting="same_kind")
+        del parts
+        known = np.concatenate([known, key[new]])
+        order = np.argsort(known, kind="stable")
+        self._remembered = known[order], np.concatenate([checks, check[new]])[order], starts[order], np.concatenate([sizes, length])[order], flat
         return self._gathered(np.searchsorted(self._remembered[0], key), back, begin, first)
 
     def _gathered(self, place: np.ndarray, back: np.ndarray, begin: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        _, at, flat, _ = self._remembered
-        start, size = at[place][back], (at[place + 1] - at[place])[back]
-        total = np.r_[0, np.cumsum(size)]
+        _, _, starts, sizes, flat = self._remembered
+        start, size = starts[place][back], sizes[place][back]
+        total = np.r_[0, np.cumsum(size, dtype=np.int64)]
         return flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total[np.searchsorted(begin, first)]
 
     def paths(self, unit_begin: np.ndarray, unit_end: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -525,6 +525,8 @@ def _received(sent) -> Model:
     key = hash(sent.value)
     if key not in held:
         held.clear()
+        # What earlier steps left in this process is not needed beside a model.
+        sys.__dict__.get("_certflume_shipped", {}).clear()
         held[key] = Model(*pickle.loads(sent.value))
     return held[key]
 
@@ -581,7 +583,7 @@ def _giants(docs: DataFrame, sent, text: str, out: str, chunk: int, columns: lis
                     yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([t[a:b]]), pa.array([lo - a], pa.int32()), pa.array([hi - a], pa.int32())],
                                                      ["row", "k", "piece", "lo", "hi"])
 
-    chunks = rows.select("__row", F.col(quoted(text)).cast("string")).mapInArrow(split, "row bigint, k int, piece string, lo int, hi int")
+    chunks = rows.select("__row", F.col(quoted(text)).cast("string")).mapInArrow(releasing(split), "row bigint, k int, piece string, lo int, hi int")
     # A chunk costs far more time than its bytes tell, so the number of tasks is given, not left to their size.
     chunks = chunks.repartition(partitions_for(docs.sparkSession, total_bytes(rows, text), TASK_BYTES), "row", "k")
 
@@ -591,7 +593,7 @@ def _giants(docs: DataFrame, sent, text: str, out: str, chunk: int, columns: lis
             made = [pickle.dumps(m.transfer(t, lo, hi)) for t, lo, hi in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["row", "k", "m"])
 
-    parts = chunks.mapInArrow(matrices, "row bigint, k int, m binary").withColumn("g", (F.col("k") / GROUP).cast("int"))
+    parts = chunks.mapInArrow(releasing(matrices), "row bigint, k int, m binary").withColumn("g", (F.col("k") / GROUP).cast("int"))
 
     def ordered(table: pa.Table) -> tuple[list, list[dict]]:
         table = table.sort_by("k") if "k" in table.column_names else table.sort_by("g")
@@ -628,7 +630,7 @@ def _giants(docs: DataFrame, sent, text: str, out: str, chunk: int, columns: lis
             made = [m.trace(t, lo, hi, *pickle.loads(e)) for t, lo, hi, e in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int32()))], ["row", "k", "ids"])
 
-    traced = chunks.join(ends, ["row", "k"]).select("row", "k", "piece", "lo", "hi", "ends").mapInArrow(traces, "row bigint, k int, ids array<int>")
+    traced = chunks.join(ends, ["row", "k"]).select("row", "k", "piece", "lo", "hi", "ends").mapInArrow(releasing(traces), "row bigint, k int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("__ids"))
     both = rows.join(whole, rows["__row"] == whole["row"], "left")
     return both.select(*[quoted(c) for c in columns], F.col("__ids").alias(out), *([F.col(quoted(text)).cast("string").alias("__given")] if with_text else []))
@@ -653,4 +655,4 @@ def decode(df: DataFrame, model: Model, ids: str = "ids", out: str = "decoded")
                 made = pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=names)
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(releasing(run), schema)

@@ -1,6 +1,10 @@
 """Trained scores on held-out rows, exact round trips, and the small contracts; with nulls, empty and repeated rows, empty tables."""
 
+import pickle
 import random
+import sys
+import tracemalloc
+import types
 
 import numpy as np
 
@@ -171,6 +175,31 @@ def scanned(model, text, chunk):
     return [i for p, e, n in zip(parts, states, states[1:], strict=False) for i in model.trace(*p, e, n)]
 
 
+def test_learning_units_takes_little_memory():
+    """A few new units beside many remembered ones do not copy all ids several times."""
+    model = pieces.Model.load(queries.PIECES)
+    rng = random.Random(1)
+    for _ in range(20):
+        model.encode(model.escaped(" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(1500))))
+    held = len(model._remembered[0])
+    tracemalloc.start()
+    try:
+        model.encode(model.escaped("zyxw"))
+        model.encode(model.escaped("zyxwv"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert held > 20_000 and peak < 150 * held
+
+
+def test_a_model_replaces_what_earlier_steps_left(monkeypatch):
+    model = pieces.Model([("a", 0.0, 1)], True, False)
+    sent = types.SimpleNamespace(value=pickle.dumps((model.listed, model.bpe, model.dummy_prefix)))
+    monkeypatch.setitem(sys.__dict__, "_certflume_shipped", {1: "a lexicon"})
+    monkeypatch.setitem(sys.__dict__, "_certflume_pieces", {})
+    assert pieces._received(sent).listed == model.listed and not sys._certflume_shipped
+
+
 def test_chunks_give_the_same_path(models):
     model, library = models
     rng = random.Random(2)
