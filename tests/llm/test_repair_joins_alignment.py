@@ -3,12 +3,14 @@
 import collections
 import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,65 @@ def test_grams_find_what_single_partners_miss(spark, monkeypatch):
     assert got == [r[:3] for r in brute.near(rows, k=5)]
 
 
+def test_grams_pairs_grow_with_documents(spark, monkeypatch):
+    """A group whose first document is like few of it is joined by its likeliest pairs, not by all."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        copy = [f"w{n}" for n in range(120)]
+        at = rng.randrange(5, 110)
+        for n in [20, 60, 100] if i == 0 else [at, at + 2] if i % 3 else [at]:
+            copy[n] = f"v{i}_{n}"
+        rows.append((i, " ".join(copy)))
+    looked = []
+    confirmed = grams.confirmed
+
+    def counted(pairs, *more):
+        looked.append(pairs.count())
+        return confirmed(pairs, *more)
+
+    monkeypatch.setattr(grams, "confirmed", counted)
+    got = sorted({tuple(r) for r in grams.join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()})
+    assert got == [r[:3] for r in brute.near(rows, k=5)]
+    assert sum(looked) < 4 * len(rows), looked
+
+
+def test_grams_classes_of_one_prefix(spark):
+    """Sets of equal size and prefix are linked also where the first of them is linked with none."""
+    passage = [f"p{i}" for i in range(30)]
+    x, y = ([f"{c}{i}" for i in range(70)] for c in "xy")
+    near = [*y[:-3], "a", "b", "c"]
+    rows = [(i, " ".join(passage + rest)) for i, rest in enumerate((x, y, near))]
+    # What follows the passage is frequent, so it stands last.
+    rows += [(10 + i, " ".join([f"q{i}_{n}" for n in range(40)] + passage[-4:] + (x, y, near)[i % 3])) for i in range(36)]
+    got = sorted(tuple(r) for r in grams.join(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect())
+    assert got == [r[:3] for r in brute.near(rows, k=5)]
+    assert got[2] == (2, 96, 1)
+
+
+def test_gram_sketches_and_forests():
+    rng = np.random.default_rng(6)
+    value = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.sort(rng.choice(value, n, replace=False)) for n in (0, 1, 50, 300, 390)]
+    found = grams.sketches(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+    marks = [np.frombuffer(s, np.uint8) for s in found]
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        bits = int(np.bitwise_count(marks[a] ^ marks[b]).sum())
+        assert bits <= len(np.setxor1d(sets[a], sets[b])) and bits > 0
+    for nodes, edges in ((2, 5), (30, 20), (30, 200)):
+        a, b = rng.integers(0, nodes, (2, edges))
+        a, b = a[a != b], b[a != b]
+        rank = rng.permutation(len(a))
+        parent, taken = list(range(nodes)), []
+        for i in np.argsort(rank).tolist():
+            if parent[a[i]] != parent[b[i]]:
+                old, new = parent[a[i]], parent[b[i]]
+                parent = [new if p == old else p for p in parent]
+                taken.append(i)
+        assert grams.forest(rank, a, b).tolist() == sorted(taken)
+    assert not len(grams.forest(*[np.zeros(0, np.int64)] * 3))
+
+
 def test_grams_edges(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (3, "a b c d e f"), (3, "q r s t u v")]
     docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id bigint, text string, n bigint, `gram` string")
