@@ -230,6 +230,43 @@ def test_gram_sketches_and_forests():
     assert not len(grams.forest(*[np.zeros(0, np.int64)] * 3))
 
 
+def test_gram_stars():
+    rng = np.random.default_rng(8)
+    for nodes, edges in ((2, 1), (40, 30), (40, 200), (400, 399)):
+        a, b = rng.integers(0, nodes, (2, edges)) * 7 - 50
+        if nodes == 400:  # a path
+            a, b = np.arange(399), np.arange(1, 400)
+        least = {x: x for x in np.r_[a, b].tolist()}
+        for _ in range(nodes):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                least[x] = least[y] = min(least[x], least[y])
+        x, y = grams.starred(a, b)
+        assert dict(zip(y.tolist(), x.tolist(), strict=True)) == {k: v for k, v in least.items() if v < k} and len(y) == len(set(y.tolist()))
+    assert not len(grams.starred(*[np.zeros(0, np.int64)] * 2)[0])
+
+
+def test_grams_tasks_follow_rows_not_partitions(spark):
+    """Of few rows in many partitions the driver has not a task for each partition at every step."""
+    rows = [(i, " ".join(f"w{n}" for n in range(i, i + 60))) for i in range(40)] + [(100 + i, f"u{i} " * 9) for i in range(20)]
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup("gram-tasks", "gram-tasks")
+    try:
+        got = sorted(tuple(r) for r in grams.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == [r[:3] for r in brute.near(rows, k=5)]
+    stages = {s for j in tracker.getJobIdsForGroup("gram-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)) is not None)
+    # 163 times the partitions when every step read and wrote all of them.
+    assert tasks < 125 * 64, tasks
+
+
 def test_grams_edges(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (3, "a b c d e f"), (3, "q r s t u v")]
     docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id bigint, text string, n bigint, `gram` string")
