@@ -2,10 +2,13 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from certflume.functions.der import outline
 from certflume.operators.certificates import fingerprints, full_messages, parse_certificates
+from certflume.plans.certificate_queries import pages, tiles
+from certflume.session import configure
 from test_der_columns import certificate
 
 
@@ -37,3 +40,28 @@ def test_chains_are_published_without_a_shuffle(spark):
             whole = alone[x]
             assert (o["fingerprint"], o["sha256"]) == (whole["prints"]["sha1"], whole["prints"]["sha256"])
             assert all(o[f] == whole["parsed"][f] for f in ("subject", "issuer", "extensions", "not_before", "not_after", "serial_number", "signature_algorithm", "is_ca"))
+
+
+@F.arrow_udf("bigint")
+def rows_of_batch(data: pa.Array) -> pa.Array:
+    return pa.array([len(data)] * len(data), pa.int64())
+
+
+def test_batches_of_large_rows_are_small(spark):
+    configure(spark)
+    large = spark.range(0, 40, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1 << 20), "UTF-8").alias("content"))
+    assert max(r[0] for r in large.select(rows_of_batch("content")).collect()) < 20
+
+
+def small_tables(spark, folder) -> str:
+    spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 40).alias("ts"), (F.col("id") % 7).alias("user_id"),
+                            F.when(F.col("id") % 3 == 0, "view").otherwise("click").alias("event_type")).write.parquet(f"{folder}/events.parquet")
+    spark.range(9).select(F.col("id").alias("page_id"), F.format_string("http://p%d.example.com/", "id").alias("url")).write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def test_pages_and_tiles_are_made_behind_the_shuffle(spark, tmp_path):
+    folder = small_tables(spark, tmp_path)
+    for made, bytes_ in ((pages(spark, folder), "base64("), (tiles(spark, folder), "date_format(")):
+        above, below = plan(made).split("Exchange", 1)
+        assert bytes_ in above and bytes_ not in below
