@@ -3,12 +3,13 @@
 import random
 
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from certflume.functions.der import outline
+from certflume.operators import flow, windows
 from certflume.operators.certificates import fingerprints, full_messages, parse_certificates
 from certflume.plans.certificate_queries import pages, tiles
-from certflume.session import configure
+from certflume.session import configure, written
 from test_der_columns import certificate
 
 
@@ -42,7 +43,7 @@ def test_chains_are_published_without_a_shuffle(spark):
             assert all(o[f] == whole["parsed"][f] for f in ("subject", "issuer", "extensions", "not_before", "not_after", "serial_number", "signature_algorithm", "is_ca"))
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def rows_of_batch(data: pa.Array) -> pa.Array:
     return pa.array([len(data)] * len(data), pa.int64())
 
@@ -62,6 +63,42 @@ def small_tables(spark, folder) -> str:
 
 def test_pages_and_tiles_are_made_behind_the_shuffle(spark, tmp_path):
     folder = small_tables(spark, tmp_path)
-    for made, bytes_ in ((pages(spark, folder), "base64("), (tiles(spark, folder), "date_format(")):
+    for made in (pages(spark, folder), tiles(spark, folder)):
         above, below = plan(made).split("Exchange", 1)
-        assert bytes_ in above and bytes_ not in below
+        assert "date_format(" in above and "date_format(" not in below
+
+
+def test_kept_entries_are_marked_where_they_are(spark):
+    rows = [("u" if i % 3 else "v", i // 2, bytes([i % 251])) for i in range(5000)] + [(None, 1, b"n"), ("u", None, b"n")]
+    entries = spark.createDataFrame(rows, "log_url string, index bigint, der binary").repartition(7).withColumn("_no", F.monotonically_increasing_id())
+    entries = written(entries)
+    kept = spark.createDataFrame([(u, i) for u in ("u", "v", None) for i in range(0, 2500, 7)] + [("u", 0), ("u", None)], "log_url string, index bigint")
+    got = flow.standing(entries, kept, 5002)
+    same = flow.standing(entries, kept, flow.MARKED + 1)
+    listed = lambda df: sorted((r.log_url, r["index"], bytes(r.der)) for r in df.collect())
+    assert got.columns == same.columns == ["log_url", "index", "der"]
+    assert listed(got) == listed(same) != []
+    # Only places and marks are shuffled.
+    assert "der" not in "".join(x.split("output=")[-1] for x in plan(got).split("\n") if "Exchange hash" in x)
+    assert listed(flow.standing(entries, kept.limit(0), 5002)) == []
+
+
+def test_rows_of_key_time_and_order_are_shuffled_once(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", *map(str, range(40))]), rng.choice([None, *range(0, 4000, 7)]), rng.choice([None, "x", "y"]), rng.choice([None, 1, 2])) for _ in range(3000)]
+    rows += rows[:200]
+    df = spark.createDataFrame(rows, "k string, t bigint, log_url string, index bigint").withColumn("seen", F.timestamp_seconds("t")).drop("t")
+    args = ["k"], "seen", "100 seconds", ["log_url", "index"]
+    listed = lambda df: sorted(map(repr, df.select("k", "seen", "log_url", "index").collect()))
+    once = windows.first_of_windows(df, *args)
+    assert plan(once).count("Exchange hash") == 1
+    assert listed(once) == listed(windows._picked(df, *args)) == listed(windows.first_of_windows(df, *args, many=60))
+
+
+def test_publishing_drops_the_copies_of_both_kinds_of_log(spark, tmp_path):
+    folder = small_tables(spark, tmp_path)
+    out = flow.publish(pages(spark, folder), tiles(spark, folder), spark.createDataFrame([], "fp string, der binary"))
+    # Every event stands in a page and in a tile; of tiles the first two records are skipped, of pages some last ones lie beyond what was asked for.
+    assert sorted(r["index"] for r in out.certificates.select("index").collect()) == list(range(600))
+    assert out.counts["entries"] - out.counts["duplicates"] == out.counts["kept"] == 600
+    assert "_no" not in out.certificates.columns and out.certificates.schema["sha256"].dataType == T.StringType()
