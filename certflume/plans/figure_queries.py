@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import search as S, stats
 from ..operators.alerts import outbox, record_alerts
 from ..operators.windows import anchored_window
+from ..session import stored
 from .alert_queries import anchored_sql
 from .catalogue import query
 from .views import CERTS_SQL, certs, findings, table
@@ -92,9 +93,14 @@ def stages(spark, folder):
     return stats.stage_counts(_flagged(spark, folder))
 
 
-def _checks(spark, folder):
+def _alerts(spark, folder):
+    """The alerts of all findings, written once for all figures that are taken of them."""
+    return stored(record_alerts(findings(spark, folder), order=("event_id",)), "alerts")
+
+
+def _checks(spark, folder, alerts=None):
     found = findings(spark, folder)
-    return stats.check_counts(certs(spark, folder), found, record_alerts(found, order=("event_id",)))
+    return stats.check_counts(certs(spark, folder), found, _alerts(spark, folder) if alerts is None else alerts)
 
 
 _KEYS = """found AS (SELECT *, CAST(user_id % 3 AS VARCHAR) || '|' || CAST(user_id AS VARCHAR) AS key FROM events),
@@ -116,8 +122,8 @@ _POSTS = """posts AS (SELECT DISTINCT k, anchor, h FROM f_walk, (VALUES (0), (1)
 delivered AS (SELECT count(*) FILTER (anchor % 5 <> 0 AND anchor % 3 <> h) AS sent, count(*) FILTER (anchor % 5 <> 0 AND anchor % 3 = h) AS failed FROM posts)"""
 
 
-def _delivered(spark, folder):
-    alerts = record_alerts(findings(spark, folder), order=("event_id",))
+def _delivered(spark, folder, alerts=None):
+    alerts = _alerts(spark, folder) if alerts is None else alerts
     urls = ["https://hooks.example/0", "https://hooks.example/1"]
     posts = outbox(alerts, urls, "low")
     at, hook = F.unix_micros("created_at"), F.substring("url", -1, 1).cast("int")
@@ -203,6 +209,6 @@ SELECT 'certflume_' || name AS name, CAST(2 AS INTEGER) AS place, 'certflume_' |
 UNION ALL SELECT 'certflume_' || name, 0, '# HELP certflume_' || name || ' ' || help FROM named UNION ALL SELECT 'certflume_' || name, 1, '# TYPE certflume_' || name || ' ' || kind FROM named""")
 def metrics(spark, folder):
     status = stats.log_health(_polls(spark, folder)).withColumn("name", F.col("log_url")).withColumn("lag", F.col("errors") * 3)
-    alerts = record_alerts(findings(spark, folder), order=("event_id",))
-    return stats.metrics_page(stats.metrics(stats.stage_counts(_flagged(spark, folder)), status, _checks(spark, folder), alerts,
-                                            rates=stats.rate(certs(spark, folder)), delivered=_delivered(spark, folder)))
+    alerts = _alerts(spark, folder)
+    return stats.metrics_page(stats.metrics(stats.stage_counts(_flagged(spark, folder)), status, _checks(spark, folder, alerts), alerts,
+                                            rates=stats.rate(certs(spark, folder)), delivered=_delivered(spark, folder, alerts)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from certflume.functions.der import outline
 from certflume.operators import flow, windows
+from certflume.operators.alerts import record_alerts
 from certflume.operators.certificates import fingerprints, full_messages, parse_certificates
 from certflume.plans.certificate_queries import pages, tiles
 from certflume.session import configure, written
@@ -102,3 +103,24 @@ def test_publishing_drops_the_copies_of_both_kinds_of_log(spark, tmp_path):
     assert sorted(r["index"] for r in out.certificates.select("index").collect()) == list(range(600))
     assert out.counts["entries"] - out.counts["duplicates"] == out.counts["kept"] == 600
     assert "_no" not in out.certificates.columns and out.certificates.schema["sha256"].dataType == T.StringType()
+
+
+def test_windows_shuffle_hashes_of_their_keys(spark):
+    rows = [(k, d, t, i) for i, (k, d, t) in enumerate([(None, "a", 0), ("a", None, 5), (None, None, 7), ("", "a", 9), (None, "a", 20), ("a", None, 200), ("b", "c", 3), ("b", "c", 3)])]
+    df = spark.createDataFrame(rows, "k string, d string, t bigint, i bigint").withColumn("seen", F.timestamp_seconds("t")).drop("t")
+    got = windows.anchored_window(df, ["k", "d"], "seen", "60 seconds", ["i"])
+    assert {r.i: (r.is_first, r.anchor_ts.minute * 60 + r.anchor_ts.second) for r in got.collect()} == {
+        0: (True, 0), 1: (True, 5), 2: (True, 7), 3: (True, 9), 4: (False, 0), 5: (True, 200), 6: (True, 3), 7: (False, 3)}
+    assert "hashpartitioning(_k1" in plan(got).replace("Exchange ", "") and "hashpartitioning(coalesce(k" not in plan(got)
+
+
+def test_counts_of_alerts_carry_no_findings(spark):
+    df = spark.range(50).select(
+        F.struct(F.lit("w").alias("id"), F.lit("W").alias("name"), F.lit("brand").alias("kind")).alias("watch"), F.format_string("n%d.test", F.col("id") % 7).alias("domain"),
+        F.lit("u").alias("unicode"), F.lit(50).alias("score"), F.lit("high").alias("severity"), F.array(F.lit("keyword")).alias("reasons"), F.lit("said").alias("evidence"),
+        F.timestamp_seconds(F.col("id") * 7200).alias("seen"), F.col("id").alias("seq"), F.struct(F.col("id").alias("cert_index")).alias("cert"))
+    alerts = record_alerts(df, order=("seq",))
+    assert "severity" not in plan(alerts.agg(F.sum("count")))
+    first = {r["id"]: r for r in alerts.collect()}
+    assert sum(r["count"] for r in first.values()) == 50
+    assert all(r.cert.cert_index * 7200 == r.created_at.timestamp() and (r.evidence, r.score) == ("said", 50) for r in first.values())
