@@ -8,8 +8,11 @@ from pyspark.sql import functions as F, types as T
 from certflume.functions.der import outline
 from certflume.operators import flow, windows
 from certflume.operators.alerts import record_alerts
-from certflume.operators.certificates import fingerprints, full_messages, parse_certificates
+from certflume.operators.certificates import cert_names, fingerprints, full_messages, parse_certificates
+from certflume.operators.detect import best_per_certificate, detect, strongest
+from certflume.operators.watchlist import compile_watchlist, watchlist_frame
 from certflume.plans.certificate_queries import pages, tiles
+from certflume.plans.views import certs, watchlist
 from certflume.session import configure, written
 from test_der_columns import certificate
 
@@ -124,3 +127,19 @@ def test_counts_of_alerts_carry_no_findings(spark):
     first = {r["id"]: r for r in alerts.collect()}
     assert sum(r["count"] for r in first.values()) == 50
     assert all(r.cert.cert_index * 7200 == r.created_at.timestamp() and (r.evidence, r.score) == ("said", 50) for r in first.values())
+
+
+def test_the_strongest_findings_alone_are_told(spark, tmp_path):
+    folder = small_tables(spark, tmp_path)
+    watch = watchlist(spark)
+    names = cert_names(certs(spark, folder), *flow.KEY)
+    names = names.unionByName(names.limit(20))
+    got = strongest(names, watch, flow.KEY)
+    want = best_per_certificate(detect(names, watch, (*flow.KEY, "pos")), flow.KEY).drop("pos", "watch_id")
+    listed = lambda df: sorted(repr(r) for r in df.select(*want.columns).collect())
+    assert sorted(got.columns) == sorted(want.columns)
+    assert listed(got) == listed(want) != []
+    # What is chosen among is names and scores; the rest is joined once.
+    assert "max_by" not in plan(got) and "max_by" in plan(want)
+    nothing = compile_watchlist(watchlist_frame(spark, []))
+    assert strongest(names, nothing, flow.KEY).count() == 0
